@@ -32,11 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, repair
-from .common import table
+from . import bpe, langid, matroska, quality, repair, simhash, toxicity
+from .common import crc_mod, table
 
 
 def vocabulary(name: str) -> str:
@@ -19,11 +20,35 @@ def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1))
 
 
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
+
+
+def op3_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op4_byte_bpe)}
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) != 2)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op2_toxic_spans, op3_simhash_vantage_points, op4_byte_bpe, op7_pairwise_quality, op9_language_mixture, op10_matroska)}
 ORACLE_SQL: dict[str, str] = {}
