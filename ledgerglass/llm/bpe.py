@@ -81,7 +81,7 @@ class ByteBpe:
         self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.table = PairTable(self.pairs)
         self.split = regex.compile(pattern).findall
-        self.pieces = Memo(self.encode_pieces, 250_000)
+        self.pieces = Memo(self.encode_pieces)
         self.chunks = Memo(self.encode_chunks)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
@@ -159,8 +159,7 @@ class ByteBpe:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.split(c) for c in chunks]
-        known = self.pieces.cover({p for pieces in split for p in pieces})
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        return list(map(b"".join, self.pieces.fetch(split)))
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -175,8 +174,7 @@ class ByteBpe:
         out = []
         for at in range(0, len(texts), 32):  # few at once: long texts hold many chunks
             cut = [self.cut(t) for t in texts[at : at + 32]]
-            known = self.chunks.cover(set().union(*cut))
-            out += [b"".join([known[c] for c in chunks]) for chunks in cut]
+            out += map(b"".join, self.chunks.fetch(cut))
         return out
 
     def decode(self, ids: bytes) -> bytes:

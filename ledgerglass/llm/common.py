@@ -63,18 +63,33 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 class Memo:
-    """A bounded map from words to values; it starts anew when it is full, so memory stays bounded and results never change."""
-
-    def __init__(self, fill: Callable[[list], list], most: int = 350_000):
-        self.fill, self.most, self.known = fill, most, {}
-
-    def cover(self, wanted: set) -> dict:
-        """The map, with all wanted words in it."""
-        known = self.known
-        missing = [w for w in wanted if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = list(wanted)
-            known.update(zip(missing, self.fill(missing), strict=True))
-        return known
+    """A bounded map from words to values, filled on demand, in two generations of at most `most` words each.
+
+    When the young one is full it becomes the old one; words that come again move back. Results never depend on it.
+    """
+
+    def __init__(self, fill: Callable[[list], list], most: int = 300_000):
+        self.fill, self.most = fill, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def add(self, missing: set) -> None:
+        if len(self.young) + len(missing) > self.most and self.young:
+            self.old, self.young = self.young, {}
+        again = [w for w in missing if w in self.old]
+        new = [w for w in missing if w not in self.old]
+        self.young.update((w, self.old[w]) for w in again)
+        if new:
+            self.young.update(zip(new, self.fill(new), strict=True))
+
+    def fetch(self, lists: list[list]) -> list[list]:
+        """The values of the words of each list."""
+        found = [list(map(self.young.get, words)) for words in lists]
+        open_ = [(words, values, [k for k, v in enumerate(values) if v is None]) for words, values in zip(lists, found, strict=True) if None in values]
+        if open_:
+            self.add({words[k] for words, _, places in open_ for k in places})
+            young = self.young
+            for words, values, places in open_:
+                for k in places:
+                    values[k] = young[words[k]]
+        return found

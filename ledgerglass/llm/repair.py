@@ -30,7 +30,7 @@ from .common import Memo, shared_folder, small_batches, texts_of
 MAGIC, HEADER = b"RPG1", "<4sIIII"
 SHARD_TOKENS, STEP, SYMBOLS = 1 << 20, 1024, 1 << 16
 #: A pair is replaced if it occurs so often in its shard; pairs replaced in one round, and rounds, at most.
-LEAST, WAVE, ROUNDS = 24, 4096, 8
+LEAST, WAVE, ROUNDS = 24, 8192, 6
 SHARD_SCHEMA = "part int, shard int, part_start bigint, tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, data binary"
 READ_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard_bytes bigint"
 
@@ -57,8 +57,8 @@ class Encoder:
             raise ValueError("terminals must fit 16 bits")
         self.end, self.terminals = struct.pack("<H", end_id), self.library.get_vocab_size()
         (self.mark,) = self.library.encode(self.MARK, add_special_tokens=False).ids
-        self.words = Memo(self.encode, 300_000)
-        self.chunks = Memo(self.encode_chunks, 350_000)
+        self.words = Memo(self.encode)
+        self.chunks = Memo(self.encode_chunks)
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Many words in one call, as a call costs more than a word."""
@@ -82,15 +82,22 @@ class Encoder:
                 parts.append((head.lower(), chunk[len(head) :]))
             else:
                 parts.append((chunk, ""))
-        known = self.words.cover({p for pair in parts for p in pair})
-        return [known[head] + known[tail] for head, tail in parts]
+        return [head + tail for head, tail in self.words.fetch(parts)]
+
+    @staticmethod
+    def plain(text: str) -> str:
+        """Lower case for Latin-1 texts, where it is as the vocabulary's normaliser has it."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 32):
-            cut = [t.replace("\n", " ").split(" ") for t in texts[at : at + 32]]
-            known = self.chunks.cover(set().union(*cut))
-            out += [b"".join([known[c] for c in chunks]) + self.end for chunks in cut]
+            cut = [self.plain(t).replace("\n", " ").split(" ") for t in texts[at : at + 32]]
+            out += [b"".join(ids) + self.end for ids in self.chunks.fetch(cut)]
         return out
 
 

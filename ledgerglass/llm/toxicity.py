@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Documents carry labels, tokens do not: a token is labelled toxic if its document is and its word is all but confined to
-toxic documents of the sample (at most SAMPLE of each label). The field has two states; emissions weigh the word and
-both neighbours, transitions link the states; it is trained on segments of SEGMENT tokens by gradients from
-forward-backward marginals. Scoring runs forward-backward exactly over whole texts of any length: steps of the chain are
+Documents carry labels, tokens do not: a token is labelled toxic if its document is and one of its features (the word and
+its beginnings) is far commoner among toxic documents of the sample (at most SAMPLE of each label). The field has two
+states; emissions weigh the features of the word and of both neighbours, transitions link the states; it is trained on
+segments of SEGMENT tokens by gradients from forward-backward marginals. Scoring runs forward-backward exactly over whole texts of any length: steps of the chain are
 2 x 2 matrices, multiplied within rows of ROW tokens for all rows at once and then across rows. A document's score is a
-logistic function, fitted on the sample, of its largest marginal and of the expected number of toxic tokens; spans are
+logistic function, fitted on the sample, of its largest marginal and of the expected number and share of toxic tokens; spans are
 runs of tokens whose marginal is at least one half, as character offsets.
 
 Null and empty texts have no tokens and score by the intercept. Without toxic labels every score is 0.
@@ -14,6 +14,7 @@ Null and empty texts have no tokens and score by the intercept. Without toxic la
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,11 @@ from pyspark.sql import DataFrame
 from .common import Memo, map_batches, small_batches, texts_of
 from .quality import labelled
 
-SEGMENT, ROW, LEAST, PURE, RIDGE, STEPS, RATE = 24, 64, 4, 0.9, 1e-3, 60, 0.5
+SAMPLE = 2000
+SEGMENT, ROW, RIDGE, STEPS, RATE = 24, 64, 1e-3, 50, 0.5
+#: A feature marks toxic tokens if it is in LEAST toxic documents, PURE as a share of both rates, and this unlikely by chance.
+LEAST, PURE, SURE = 4, 0.8, 40.0
+STEMS = range(4, 9)
 SCHEMA = "doc_id bigint, score double, predicted int, spans array<struct<begin:int,end:int>>"
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”‘’"
 TOKEN = re.compile(r"\S+")
@@ -72,22 +77,44 @@ def marginals(emission: np.ndarray, first: np.ndarray, initial: np.ndarray, move
     return both[:, 1] / both.sum(1)
 
 
+def parts_of(word: str) -> list[str]:
+    """Features of a word: itself, and its beginnings (with a mark, as they are no words)."""
+    return [word, *(word[:n] + "~" for n in STEMS if n < len(word))] if word else []
+
+
 class Field:
-    """A trained field: weights of a word by itself and as left or right neighbour, and the chain's moves."""
+    """A trained field: weights of a feature for its own token and as left or right neighbour, and the chain's moves."""
 
     def __init__(self):
-        self.words: dict[str, int] = {}
-        self.weights = np.zeros((1, 3))  # row 0: unknown words
+        self.features: dict[str, int] = {}
+        self.weights = np.zeros((0, 3))
+        self.kinds: dict[tuple[int, ...], int] = {(): 0}
+        self.table = np.zeros((1, 3))  # of each kind of token, that is each set of features
         self.bias, self.initial, self.moves = -12.0, np.ones(2), np.ones((2, 2))
-        self.outer = np.array([-20.0, 0.0, 0.0])
+        self.outer = np.array([-20.0, 0.0, 0.0, 0.0])
+
+    def kind(self, token: str) -> int:
+        """The token's set of known features; there are no more sets than features, twice over, as beginnings nest."""
+        key = tuple([k for x in parts_of(normal(token)) if (k := self.features.get(x)) is not None])
+        found = self.kinds.get(key)
+        if found is None:
+            found = self.kinds[key] = len(self.kinds)
+        return found
+
+    def weigh(self) -> None:
+        """Weights of all kinds met so far."""
+        if len(self.table) < len(self.kinds):
+            new = [self.weights[list(key)].sum(0) for key in list(self.kinds)[len(self.table) :]]
+            self.table = np.concatenate([self.table, new])
 
     def emissions(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        own, last = self.weights[ids], np.append(first[1:], True)
+        own, last = self.table[ids], np.append(first[1:], True)
         left, right = np.where(first, 0, np.roll(own[:, 1], 1)), np.where(last, 0, np.roll(own[:, 2], -1))
         return self.bias + own[:, 0] + left + right
 
     def read(self, lists: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Scores of documents given as word ids, and the marginals of their tokens."""
+        """Scores of documents given as kinds of tokens, and the marginals of their tokens."""
+        self.weigh()
         sizes = np.array([len(x) for x in lists], np.int64)
         ends = np.cumsum(sizes)
         p = np.zeros(0)
@@ -101,29 +128,46 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(facts @ self.outer, -40, 40))), parts
 
     @staticmethod
-    def facts(p: np.ndarray) -> tuple[float, float, float]:
-        """1, log odds of the largest marginal, log of the expected number."""
+    def facts(p: np.ndarray) -> tuple[float, float, float, float]:
+        """1, log odds of the largest marginal, logs of the expected number and of the expected share."""
         top = min(max(float(p.max()), 1e-6), 1 - 1e-6) if len(p) else 1e-6
-        return 1.0, float(np.log(top / (1 - top))) / 5, float(np.log(p[p > 0.01].sum() + 0.05))
+        expected = float(p[p > 0.01].sum())
+        return 1.0, float(np.log(top / (1 - top))) / 5, float(np.log(expected + 0.05)), float(np.log(expected / (len(p) + 20) + 1e-4))
+
+
+def surprise(t: int, n1: int, c: int, n0: int) -> float:
+    """Twice the log likelihood ratio of t of n1 against c of n0."""
+    both = (t + c) / (n1 + n0)
+    return 2 * sum(k * np.log(k / n / q) if k else 0.0 for k, n, q in ((t, n1, both), (c, n0, both), (n1 - t, n1, 1 - both), (n0 - c, n0, 1 - both)))
 
 
 def train(rows: list[tuple[str, int]]) -> Field:
     field = Field()
-    docs = [[normal(w) for w in t.split()] for t, _ in rows]
     labels = np.array([y for _, y in rows])
-    if not (labels == 1).any():
+    if not (labels == 1).any() or not (labels == 0).any():
         return field
-    n1, n0 = int((labels == 1).sum()), max(1, int((labels == 0).sum()))
-    seen: dict[str, list[int]] = {}
-    for words, y in zip(docs, labels.tolist(), strict=True):
-        for w in set(words):
-            seen.setdefault(w, [0, 0])[y] += 1
-    toxic = {w for w, (c, t) in seen.items() if w and t >= LEAST and t / n1 / (t / n1 + c / n0) >= PURE and t > 0.002 * n1}
-    field.words = {w: k + 1 for k, w in enumerate(sorted(w for w, (c, t) in seen.items() if w and c + t >= LEAST))}
-    ids = [np.array([field.words.get(w, 0) for w in d], np.int64) for d in docs]
-    marks = np.zeros(len(field.words) + 1, bool)
-    marks[[field.words[w] for w in toxic]] = True
-    # Segments with a labelled token, and as many without.
+    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
+    hits: Counter[str] = Counter()
+    for text, y in rows:
+        if y:
+            hits.update({x for w in {normal(w) for w in text.split()} for x in parts_of(w)})
+    often = {x: t for x, t in hits.items() if t >= LEAST}
+    del hits
+    clean = dict.fromkeys(often, 0)
+    for text, y in rows:
+        if not y:
+            for x in {x for w in {normal(w) for w in text.split()} for x in parts_of(w) if x in clean}:
+                clean[x] += 1
+    field.features = {x: k for k, x in enumerate(sorted(often))}
+    toxic = np.zeros(len(field.features), bool)
+    for x, k in field.features.items():
+        c, t = clean[x], often[x]
+        toxic[k] = t / n1 / (t / n1 + c / n0) >= PURE and surprise(t, n1, c, n0) >= SURE
+    ids = [np.array([field.kind(w) for w in t.split()], np.int64) for t, _ in rows]
+    keys = list(field.kinds)
+    member, of_kind = np.array([f for key in keys for f in key], np.int64), np.repeat(np.arange(len(keys)), [len(key) for key in keys])
+    marks = np.bincount(of_kind, toxic[member], len(keys)) > 0
+    # Segments with a labelled token, and twice as many without.
     with_, without = [], []
     for x, y in zip(ids, labels.tolist(), strict=True):
         for at in range(0, len(x), SEGMENT):
@@ -131,43 +175,33 @@ def train(rows: list[tuple[str, int]]) -> Field:
             gold = marks[some] if y else np.zeros(len(some), bool)
             (with_ if gold.any() else without).append((some, gold))
     dice = np.random.default_rng(0)
-    chosen = dice.permutation(len(without))[: max(500, 2 * len(with_))]
-    batch = [*with_, *(without[k] for k in chosen)]
+    batch = [*with_, *(without[k] for k in dice.permutation(len(without))[: max(500, 2 * len(with_))])]
     flat, gold = np.concatenate([s for s, _ in batch]), np.concatenate([g for _, g in batch])
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0, *(len(s) for s, _ in batch[:-1])])] = True
     last, n = np.append(first[1:], True), len(batch)
-    field.weights = np.zeros((len(field.words) + 1, 3))
-    field.bias = -3.0
+    field.weights, field.bias = np.zeros((len(field.features), 3)), -3.0
     grade = np.full_like(field.weights, 1e-8), np.full(1, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
     log_moves, log_initial = np.zeros((2, 2)), np.zeros(2)
     y = gold.astype(float)
-
-    def pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        inner = ~last
-        return np.array([[((1 - p) * (1 - q))[inner].sum(), ((1 - p) * q)[inner].sum()], [(p * (1 - q))[inner].sum(), (p * q)[inner].sum()]])
-
+    inner = np.flatnonzero(~last)
+    seen_moves = np.array([[((1 - y[inner]) * (1 - y[inner + 1])).sum(), ((1 - y[inner]) * y[inner + 1]).sum()], [(y[inner] * (1 - y[inner + 1])).sum(), (y[inner] * y[inner + 1]).sum()]])
     for _ in range(STEPS):
         field.moves, field.initial = np.exp(log_moves), np.exp(log_initial)
+        field.table = np.stack([np.bincount(of_kind, field.weights[member, c], len(keys)) for c in range(3)], 1)
         emission = field.emissions(flat, first)
         p = marginals(emission, first, field.initial, field.moves)
         e = np.stack([np.ones(len(flat)), np.exp(np.clip(emission, -30, 30))], 1)
         forward = scan(np.where(first[:, None, None], field.initial[None, None, :], field.moves[None]) * e[:, None, :])
-        after = p[np.minimum(np.arange(len(p)) + 1, len(p) - 1)]
         # Expected moves: of a state given the next one, from the forward state and the next marginal.
-        given = forward[:, :, None] * field.moves[None]
+        given = forward[inner, :, None] * field.moves[None]
         given /= given.sum(1, keepdims=True)
-        to = np.stack([1 - after, after], 1)
-        expected = (given * to[:, None, :])[~last].sum(0)
+        expected = (given * np.stack([1 - p[inner + 1], p[inner + 1]], 1)[:, None, :]).sum(0)
         slope = (y - p) / n
-        rise = np.zeros_like(field.weights)
-        np.add.at(rise[:, 0], flat, slope)
-        np.add.at(rise[:, 1], flat[~last], slope[np.flatnonzero(~last) + 1])
-        np.add.at(rise[:, 2], flat[~first], slope[np.flatnonzero(~first) - 1])
-        rise[0] = 0
-        rise -= RIDGE * field.weights / len(rise)
+        own = np.stack([np.bincount(flat, slope, len(keys)), np.bincount(flat[inner], slope[inner + 1], len(keys)), np.bincount(flat[inner + 1], slope[inner], len(keys))], 1)
+        rise = np.stack([np.bincount(member, own[of_kind, c], len(field.features)) for c in range(3)], 1) - RIDGE * field.weights / len(field.features)
         begin = np.array([(1 - y)[first].sum() - (1 - p)[first].sum(), y[first].sum() - p[first].sum()]) / n
-        rises = rise, np.array([slope.sum()]), (pairs(y, np.roll(y, -1)) - expected) / n - RIDGE * log_moves, begin - RIDGE * log_initial
+        rises = rise, np.array([slope.sum()]), (seen_moves - expected) / n - RIDGE * log_moves, begin - RIDGE * log_initial
         for g, r in zip(grade, rises, strict=True):
             g += r * r
         steps = [RATE * r / np.sqrt(g) for g, r in zip(grade, rises, strict=True)]
@@ -176,27 +210,33 @@ def train(rows: list[tuple[str, int]]) -> Field:
         log_moves += steps[2]
         log_initial += steps[3]
     field.moves, field.initial = np.exp(log_moves), np.exp(log_initial)
-    facts = np.concatenate([[field.facts(m) for m in field.read(ids[at : at + 200])[1]] for at in range(0, len(ids), 200)])
-    w = np.array([-1.0, 1.0, 0.0])
-    weight = np.where(labels == 1, 1 / n1, 1 / n0) * len(labels) / 2
+    keep = np.flatnonzero(np.abs(field.weights).max(1, initial=0) > 0.05)
+    names = sorted(field.features, key=field.features.__getitem__)
+    again = Field()
+    again.features, again.weights = {names[k]: i for i, k in enumerate(keep.tolist())}, field.weights[keep]
+    again.bias, again.moves, again.initial = field.bias, field.moves, field.initial
+    ids = [np.array([again.kind(w) for w in t.split()], np.int64) for t, _ in rows]
+    facts = np.concatenate([[again.facts(m) for m in again.read(ids[at : at + 200])[1]] for at in range(0, len(ids), 200)])
+    w, weight = np.zeros(facts.shape[1]), np.where(labels == 1, n0 / (n0 + n1), n1 / (n0 + n1))
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(facts @ w, -30, 30)))
-        curve = (facts * (weight * q * (1 - q))[:, None]).T @ facts + 0.05 * np.eye(3)
-        w += np.clip(np.linalg.solve(curve, facts.T @ (weight * (labels - q)) - 0.05 * w), -2, 2)
-    field.outer = w
-    return field
+        curve = (facts * (weight * q * (1 - q))[:, None]).T @ facts + 0.02 * np.eye(len(w))
+        w += np.clip(np.linalg.solve(curve, facts.T @ (weight * (labels - q)) - 0.02 * w), -2, 2)
+    again.outer = w
+    again.kinds, again.table = {(): 0}, np.zeros((1, 3))
+    return again
 
 
 @lru_cache(maxsize=1)
 def tagger(model: Broadcast) -> tuple[Field, Memo]:
     field = model.value
-    return field, Memo(lambda tokens: [field.words.get(normal(t), 0) for t in tokens])
+    return field, Memo(lambda tokens: list(map(field.kind, tokens)))
 
 
 def tag(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
     """doc_id, score, predicted, spans of every document; trains: condition of the labels to learn from."""
     spark = docs.sparkSession
-    rows, _ = labelled(docs, labels, "toxic", trains)
+    rows, _ = labelled(docs, labels, "toxic", trains, SAMPLE)
     model = spark.sparkContext.broadcast(train(rows))
 
     def make():
@@ -219,8 +259,7 @@ def tag(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
             for at in range(0, len(texts), 100):
                 some = texts[at : at + 100]
                 words = [TOKEN.findall(t) for t in some]
-                known = ids.cover(set().union(*words))
-                score, parts = field.read([np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in words])
+                score, parts = field.read([np.array(x, np.int64) for x in ids.fetch(words)])
                 scores.append(score)
                 found += [spans(t, p) for t, p in zip(some, parts, strict=True)]
             score = np.concatenate(scores)
