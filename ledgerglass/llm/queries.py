@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, matroska, quality, repair, simhash, toxicity
+from . import bpe, langid, matroska, quality, repair, simhash, superkmers, toxicity
 from .common import crc_mod, table
 
 
@@ -41,6 +41,10 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) != 2)
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages", "proportions")
@@ -50,5 +54,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op2_toxic_spans, op3_simhash_vantage_points, op4_byte_bpe, op7_pairwise_quality, op9_language_mixture, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op2_toxic_spans, op3_simhash_vantage_points, op4_byte_bpe, op7_pairwise_quality, op8_super_kmers, op9_language_mixture, op10_matroska)}
 ORACLE_SQL: dict[str, str] = {}

@@ -210,5 +210,5 @@ def components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """The row of each component with its least doc_id; of rows that repeat that id, one. All columns stay."""
-    kept = components(docs, words_per_shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = components(docs, words_per_shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
