@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import map_batches, small_batches, texts_of
 
@@ -145,8 +146,11 @@ def training_sample(docs: DataFrame, trains) -> tuple[list[str], list[str]]:
     return texts, langs
 
 
-def predict(docs: DataFrame, trains) -> DataFrame:
-    """doc_id, lang_pred, score, languages, proportions of every document; trains: condition of the rows to learn from."""
+def predict(docs: DataFrame, trains, keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, languages, proportions of every document; trains: condition of the rows to learn from.
+
+    With keep: the documents' own columns, and the prediction as `__lang`.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(*training_sample(docs, trains)))
 
@@ -154,11 +158,15 @@ def predict(docs: DataFrame, trains) -> DataFrame:
         own = reader(model)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = own.read(texts_of(batch))
+            if keep:
+                return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string())], [*batch.schema.names, "__lang"])
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
-            found = zip(*own.read(texts_of(batch)), strict=True)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], ["doc_id", "lang_pred", "score", "languages", "proportions"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*found, strict=True), kinds)], ["doc_id", "lang_pred", "score", "languages", "proportions"])
 
         return apply
 
     small_batches(spark)
+    if keep:
+        return map_batches(docs, make, StructType([*docs.schema, StructField("__lang", StringType())]))
     return map_batches(docs.select("doc_id", "text"), make, SCHEMA)

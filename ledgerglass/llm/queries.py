@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, matroska, quality, repair, simhash, superkmers, toxicity
-from .common import crc_mod, table
+from . import bpe, langid, matroska, quality, repair, simhash, superkmers, templates, toxicity, transcripts
+from .common import crc_mod, settle, table
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
+def op5_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = settle(transcripts.logs(table(spark, sf_dir, "conversations")), "transcripts")
+    found = transcripts.parse(raw, transcripts.fit(raw))
+    return found.select("conv_id", "n_turns", F.array_join("roles", ",").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("bigint").alias("rendered_chars"))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
@@ -54,5 +64,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op2_toxic_spans, op3_simhash_vantage_points, op4_byte_bpe, op7_pairwise_quality, op8_super_kmers, op9_language_mixture, op10_matroska)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op2_toxic_spans, op3_simhash_vantage_points, op4_byte_bpe, op5_transcript_roles, op6_template_decontamination, op7_pairwise_quality, op8_super_kmers, op9_language_mixture, op10_matroska)}
+ORACLE_SQL: dict[str, str] = {"op6_template_decontamination": templates.sql()}
