@@ -54,40 +54,49 @@ def places(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def enough_words(window: Column) -> Column:
-    return F.size(F.filter(window, lambda w: ~w.isin("0", "1", "2"))) >= LITERAL
+def window_hashes(df: DataFrame, key: str, literal: bool) -> DataFrame:
+    """key, h: hash of each distinct template window; literal: only of those with enough words (equal windows have equally many).
 
-
-def window_hashes(df: DataFrame, key: str) -> DataFrame:
-    """key, h: hash of each distinct template window with enough words."""
+    Words are hashed once, a window's hash is that of its words' hashes, and nothing but the array of hashes is exploded.
+    """
     words = df.where(F.col(key).isNotNull()).select(key, F.split(template(slotted(F.col("text"))), " ").alias("words"))
-    hashes = F.transform(places(F.col("words")), lambda p: F.when(enough_words(F.slice("words", p, WINDOW)), F.xxhash64(F.slice("words", p, WINDOW))))
-    return words.select(key, F.explode(F.array_distinct(hashes)).alias("h")).where("h is not null")
+    hashed = words.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("w"), F.transform("words", lambda w: (~w.isin("0", "1", "2")).cast("int")).alias("l") if literal else F.lit(None).alias("l"))
+
+    def window(p: Column) -> Column:
+        found = F.xxhash64(*[F.get("w", p + (k - 1)) for k in range(WINDOW)])
+        return F.when(sum((F.get("l", p + (k - 1)) for k in range(WINDOW)), F.lit(0)) >= LITERAL, found) if literal else found
+
+    rows = hashed.select(key, F.explode(F.array_distinct(F.transform(places(F.col("w")), window))).alias("h"))
+    return rows.where("h is not null")
 
 
 def aligned_windows(df: DataFrame, key: str) -> DataFrame:
-    """key, place, template window (one string) and slotted window (array), for rows that few enough are left of."""
+    """key, place, window (template, one string) and slots (its slotted words, where it has a slot), for rows that few enough are left of."""
     words = df.select(key, F.split(slotted(F.col("text")), " ").alias("words"), F.split(template(slotted(F.col("text"))), " ").alias("plain"))
-    rows = words.select(key, "words", "plain", F.explode(places(F.col("words"))).alias("place"))
-    rows = rows.select(key, "place", F.slice("plain", F.col("place"), WINDOW).alias("plain"), F.slice("words", F.col("place"), WINDOW).alias("slots"))
-    return rows.where(enough_words(F.col("plain"))).select(key, "place", F.array_join("plain", " ").alias("window"), "slots")
+
+    def window(p: Column) -> Column:
+        plain = F.array_join(F.slice("plain", p, WINDOW), " ")
+        return F.struct(p.alias("place"), plain.alias("window"), F.when(plain.rlike("[012]"), F.slice("words", p, WINDOW)).alias("slots"))
+
+    return words.select(key, F.inline(F.transform(places(F.col("words")), window)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, slot_count, reparameterised of every document that holds an item."""
     items = benchmark.select("item_id", "text").where("item_id is not null").dropDuplicates(["item_id"])
-    own = settle(window_hashes(items, "item_id").distinct(), "benchmark-windows")
+    own = settle(window_hashes(items, "item_id", True), "benchmark-windows")
     small = own.count() <= BROADCAST_WINDOWS
     totals = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     here = docs.select("doc_id", "text")
-    met = window_hashes(here, "doc_id").join(F.broadcast(own) if small else own, "h")
+    met = window_hashes(here, "doc_id", False).join(F.broadcast(own) if small else own, "h")
     shared = met.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n"))
     candidates = settle(shared.join(totals, "item_id").where(F.col("n") >= SHARE * F.col("item_windows")).select("doc_id", "item_id", "item_windows"), "candidates")
 
     asked = candidates.select("doc_id").distinct()
     theirs = aligned_windows(here.join(asked, "doc_id", "left_semi"), "doc_id").withColumnsRenamed({"place": "doc_place", "slots": "doc_slots"})
     ours = aligned_windows(items.join(candidates.select("item_id").distinct(), "item_id", "left_semi"), "item_id").withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
-    pairs = candidates.join(ours, "item_id").join(theirs, ["doc_id", "window"])
+    literal = F.size(F.filter(F.split("window", " "), lambda w: ~w.isin("0", "1", "2"))) >= LITERAL
+    pairs = candidates.join(ours.where(literal), "item_id").join(theirs, ["doc_id", "window"])
     pairs = pairs.select("doc_id", "item_id", "item_windows", "window", (F.col("doc_place") - F.col("item_place")).alias("shift"), "item_slots", "doc_slots")
     both = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("item_value"), b.alias("doc_value")))
     slots = pairs.select("doc_id", "item_id", "shift", F.explode(F.filter(both, lambda x: x["item_value"].rlike("^[012]"))).alias("x")).select("doc_id", "item_id", "shift", "x.*").distinct()
