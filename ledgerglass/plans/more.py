@@ -17,7 +17,7 @@ from .ledger import NOW, load
 
 #: Pairs for the detectors: amounts and texts are arithmetic on the keys, so that pairs exist.
 FACT = """select workspace_id, id, {account} as account_id, account_type, case when id % 2 = 0 then 'OUTFLOW' else 'INFLOW' end as direction, account_currency as currency,
-    cast(id % 3 + 1 as decimal(20,6)) + cast(case when id % 7 = 0 then 0.005 else 0 end as decimal(20,6)) as amount, local_date,
+    cast(case when id % 6 < 2 then id % 5 else id % 3 end + 1 as decimal(20,6)) + cast(case when id % 7 = 0 then 0.005 else 0 end as decimal(20,6)) as amount, local_date,
     case id % 6 when 0 then 'pix enviado' when 1 then 'transferencia recebida' when 3 then concat('estorno loja ', cast(merchant_id % 7 as {text})) else concat('loja ', cast(merchant_id % 7 as {text})) end as text,
     case when id % 4 <> 0 then merchant_id end as merchant_id from order_row"""
 
