@@ -23,7 +23,7 @@ from .common import map_batches, settle, small_batches, texts_of
 # Element ids of the format (fixed values).
 EBML, VERSION, READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741, 0x4489
-TRACKS, TRACK, NUMBER, UID, KIND, LACING_FLAG, CODEC, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+TRACKS, TRACK, NUMBER, UID, KIND, LACING_FLAG, CODEC, AUDIO, RATE, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, GROUP, BLOCK, REFERENCE, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 CUES, CUE, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TOP = {CLUSTER, CUES, TRACKS, INFO, SEGMENT, EBML, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
@@ -63,7 +63,7 @@ def lace(frames: list[bytes], at: int) -> bytes:
 
 
 HEAD = element(EBML, number(VERSION, 1) + number(READ_VERSION, 1) + number(MAX_ID, 4) + number(MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_VERSION, 4) + number(DOC_READ_VERSION, 2))
-TRACK_TABLE = element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(LACING_FLAG, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", 8000.0)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))))
+TRACK_TABLE = element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(LACING_FLAG, 1) + number(DEFAULT_DURATION, FRAME // PER_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", 8000.0)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))))
 
 
 def pad(raw: bytes) -> bytes:
@@ -95,6 +95,12 @@ class Media:
     tracks: list[dict[str, object]] = field(default_factory=list)
     scale: int = 1_000_000
     duration: float = 0.0
+    frame_ns: dict[int, int] = field(default_factory=dict)
+
+    def add(self, track: int, timestamp: int, keyframe: bool, lacing: int, ranges: list[tuple[int, int]]) -> None:
+        """Frames of one block; those of a lace follow each other by the track's frame duration, if it has one."""
+        step = self.frame_ns.get(track, 0)
+        self.packets += [(track, timestamp + k * step // self.scale, at, size, keyframe, lacing) for k, (at, size) in enumerate(ranges)]
 
 
 def vint(data: bytes, at: int, keep: bool) -> tuple[int, int]:
@@ -198,6 +204,8 @@ def parse(data: bytes) -> Media:
                 for k, _, e, f in elements(data, c, d):
                     if k == TRACK:
                         own = {x: (y, z) for x, _, y, z in elements(data, e, f)}
+                        if DEFAULT_DURATION in own:
+                            out.frame_ns[unsigned(data, *own[NUMBER])] = unsigned(data, *own[DEFAULT_DURATION])
                         out.tracks.append({"number": unsigned(data, *own.get(NUMBER, (0, 0))), "kind": unsigned(data, *own.get(KIND, (0, 0))), "codec": data[slice(*own.get(CODEC, (0, 0)))].decode("ascii", "replace")})
             elif part == CLUSTER:
                 out.clusters.append(begin)
@@ -220,12 +228,12 @@ def read_cluster(data: bytes, a: int, b: int, out: Media) -> None:
             base = unsigned(data, c, d)
         elif key == SIMPLE_BLOCK:
             track, relative, flags, ranges = block(data, c, d)
-            out.packets += [(track, base + relative, x, n, bool(flags & 0x80), flags >> 1 & 3) for x, n in ranges]
+            out.add(track, base + relative, bool(flags & 0x80), flags >> 1 & 3, ranges)
         elif key == GROUP:
             own = {x: (y, z) for x, _, y, z in elements(data, c, d)}
             if BLOCK in own:
                 track, relative, flags, ranges = block(data, *own[BLOCK])
-                out.packets += [(track, base + relative, x, n, REFERENCE not in own, flags >> 1 & 3) for x, n in ranges]
+                out.add(track, base + relative, REFERENCE not in own, flags >> 1 & 3, ranges)
 
 
 def features(payload: bytes, media: Media) -> str:
