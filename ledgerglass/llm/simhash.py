@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, settle, small_batches, texts_of
 
 SEED, RADIUS = 42, 2
-#: Distinct fingerprints the driver takes to place the upper vantage points; fingerprints a shard should hold.
+#: Distinct fingerprints that the driver takes (as expected by their hashes) to place the upper vantage points; fingerprints a shard should hold.
 SAMPLE, SHARD_ROWS = 16_384, 24_576
 LEAF, CELLS = 768, 1 << 21
 
@@ -156,7 +156,9 @@ def spanning_links(distinct: DataFrame) -> DataFrame:
     """hi, lo: links between distinct fingerprints that join all those within RADIUS bits, at most one per fingerprint and shard."""
     spark = distinct.sparkSession
     rows = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # Those whose hash is low, about SAMPLE of them: what reaches the driver does not grow with partitions.
+    low = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(1, rows)) * (1 << 40))
+    sample = np.sort(np.array([r["fp"] for r in distinct.where(low).select("fp").collect()], np.int64)).view(np.uint64)
     tree, _ = upper_tree(sample, max(1, -(-rows // SHARD_ROWS)))
 
     def make():
