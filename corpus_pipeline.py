@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id."""
-    return simhash.keep_one(docs, words_per_shingle=5)
+    """One document of each group stays, the one with the least id: fingerprints within two bits, or sets of 5-word shingles 0.8 alike."""
+    return simhash.keep_one(docs, words_per_shingle=5, similarity=0.8)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,24 +27,51 @@ SEED, RADIUS = 42, 2
 #: Distinct fingerprints that the driver takes (as expected by their hashes) to place the upper vantage points; fingerprints a shard should hold.
 SAMPLE, SHARD_ROWS = 16_384, 24_576
 LEAF, CELLS = 768, 1 << 21
+#: Shingles of a piece in the mean, a power of two; pieces that stand for a text when near copies are looked for.
+PIECE, PIECES = 16, 8
 
 
-def fingerprint(text: str, words_per_shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a whole text; ASCII case and white space do not count."""
+def shingle_hashes(text: str, words_per_shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text; ASCII case and white space do not count."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) < words_per_shingle:
-        shingles = [b" ".join(words)]
+        shingles = iter([b" ".join(words)] if words else [])
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(words_per_shingle)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def print_of(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        counts += votes(hashes[at : at + (1 << 14)]).sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes)).view(np.uint64)[0])
 
 
+def fingerprint(text: str, words_per_shingle: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a whole text; zero for no words."""
+    return print_of(shingle_hashes(text, words_per_shingle))
+
+
+def piece_prints(hashes: np.ndarray) -> np.ndarray:
+    """Fingerprints of a text's pieces, PIECES of them with the lowest mixed values. Pieces end where a shingle's hash says so, so an edit changes few."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    starts = np.concatenate(([0], np.flatnonzero(hashes[:-1] & np.uint64(PIECE - 1) == 0) + 1))
+    sizes, found = np.diff(np.append(starts, len(hashes))), []
+    for at in range(0, len(starts), 1 << 10):  # bounded memory for long texts
+        some = starts[at : at + (1 << 10)]
+        end = int(some[-1] + sizes[at : at + (1 << 10)][-1])
+        counts = np.add.reduceat(votes(hashes[some[0] : end]).astype(np.int32), some - some[0], axis=0)
+        found.append(np.packbits(2 * counts > sizes[at : at + (1 << 10), None], axis=1).view(np.uint64).reshape(-1))
+    prints = np.unique(np.concatenate(found))
+    return prints[np.argsort(prints * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:PIECES]]
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """doc_id, fp (the unsigned bits as a signed long)."""
 
@@ -200,9 +227,8 @@ def contract(links: DataFrame) -> DataFrame:
         links = settle(small.select("x.*").where("hi > lo").distinct(), "links")
 
 
-def components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    prints = settle(fingerprints(docs, words_per_shingle), "fingerprints")
+def name_components(prints: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of rows of (doc_id, fp)."""
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     roots = contract(spanning_links(distinct))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
@@ -210,7 +236,82 @@ def components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return prints.join(classes.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """The row of each component with its least doc_id; of rows that repeat that id, one. All columns stay."""
-    kept = components(docs, words_per_shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+def components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    return name_components(settle(fingerprints(docs, words_per_shingle), "fingerprints"))
+
+
+def sketches(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """doc_id, fp, pieces (fingerprints), shingles (number of distinct ones)."""
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes = [shingle_hashes(t, words_per_shingle) for t in texts_of(batch)]
+            fp = np.array([print_of(h) for h in hashes], np.uint64).view(np.int64)
+            pieces = pa.array([piece_prints(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pieces, pa.array([len(np.unique(h)) for h in hashes], pa.int64())], ["doc_id", "fp", "pieces", "shingles"])
+
+        return apply
+
+    small_batches(docs.sparkSession)
+    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "doc_id bigint, fp bigint, pieces array<bigint>, shingles bigint")
+
+
+def shingle_sets(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """doc_id, shingles: the distinct shingle hashes in order, 32 bits of each."""
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique((shingle_hashes(t, words_per_shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts_of(batch)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+        return apply
+
+    small_batches(docs.sparkSession)
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, shingles binary")
+
+
+def near_links(docs: DataFrame, found: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """hi, lo: pairs of documents that share a piece's fingerprint and whose shingle sets are so similar.
+
+    A piece links each of its documents to the first one only, so pairs do not grow with the square of a group.
+    """
+    sizes = found.select("doc_id", F.explode("pieces").alias("piece"), "shingles")
+    first = sizes.groupBy("piece").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n"), F.min_by("shingles", "doc_id").alias("lo_shingles")).where("n > 1")
+    pairs = sizes.join(first, "piece").where(F.col("doc_id") > F.col("lo"))
+    # No two sets are more similar than their sizes.
+    pairs = settle(pairs.where(F.least("shingles", "lo_shingles") >= similarity * F.greatest("shingles", "lo_shingles")).select(F.col("doc_id").alias("hi"), "lo").distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct()
+    sets = settle(shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id"), words_per_shingle).dropDuplicates(["doc_id"]), "shingles")
+    both = pairs.join(sets.toDF("lo", "b"), "lo").join(sets.toDF("hi", "a"), "hi").select("hi", "lo", "a", "b")
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            alike = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= similarity * (len(x) + len(y) - common))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["hi", "lo"]).filter(pa.array(alike, pa.bool_()))
+
+        return apply
+
+    small_batches(docs.sparkSession)
+    return map_batches(both, make, "hi bigint, lo bigint")
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group: the one with the least doc_id. All columns stay.
+
+    Documents group if their fingerprints link within RADIUS bits, and, among what that leaves, if they share the
+    fingerprint of a piece and their shingle sets are `similarity` alike. Rows without an id stay as they are; of rows
+    that repeat an id, one stays.
+    """
+    prints = settle(sketches(docs, words_per_shingle), "sketches")
+    named = name_components(prints.select("doc_id", "fp"))
+    single = settle(named.where("doc_id = component_id").select("doc_id").distinct(), "single")
+    left = prints.join(single, "doc_id").dropDuplicates(["doc_id"])
+    more = contract(near_links(docs, left, words_per_shingle, similarity)).select(F.col("node").alias("doc_id"))
+    kept = single.join(more, "doc_id", "left_anti").select(F.col("doc_id").alias("__kept"))
+    rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.union(docs.where("doc_id is null"))

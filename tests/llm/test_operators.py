@@ -109,8 +109,20 @@ def plain_fingerprint(text):
 def test_simhash_equals_brute_force(spark, odd):
     got = sorted((str(r["doc_id"]), f"{r['fp'] & (2**64 - 1):016x}", str(r["component_id"])) for r in simhash.components(odd).collect())
     assert got == brute_components([(i, plain_fingerprint(t)) for i, t in rows_of(odd)])
-    kept = simhash.keep_one(odd).select("doc_id").collect()
-    assert len(kept) == len({r[0] for r in kept}) and simhash.keep_one(odd).columns == odd.columns
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r[0]) for r in kept.select("doc_id").collect()) == ["0", "2", "5", "7", "8", "9", "None", "None"]
+
+
+def test_near_copies(spark):
+    dice = random.Random(7)
+    words = [dice.choice("abcdefghijklmnopqrst") + dice.choice("uvwxyz") * dice.randint(1, 4) for _ in range(400)]
+    near, far = list(words), list(words)
+    for k in range(10, 400, 70):
+        near[k] = "changed"
+    for k in range(0, 400, 9):
+        far[k] = "changed"
+    docs = documents(spark, [" ".join(words), " ".join(near), " ".join(far), " ".join(reversed(words))])
+    assert sorted(r[0] for r in simhash.keep_one(docs).select("doc_id").collect()) == [0, 2, 3]
 
 
 def test_vantage_trees_miss_no_link(spark, monkeypatch):
