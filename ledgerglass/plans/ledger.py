@@ -145,7 +145,20 @@ class Ledger:
     recurring_series: DataFrame
 
 
+#: Plans of the last folders read, by application: they hold no data, only save analysing the same text again.
+PLANS: dict[tuple[str, str], Ledger] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Ledger:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in PLANS:
+        if len(PLANS) > 8:
+            PLANS.clear()
+        PLANS[key] = build(spark, sf_dir)
+    return PLANS[key]
+
+
+def build(spark: SparkSession, sf_dir: str) -> Ledger:
     known = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
     for name, select in tables("spark").items():
         read = {m[1] for m in SOURCE.findall(select)}
