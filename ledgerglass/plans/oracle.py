@@ -211,7 +211,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "r10_bill_summary": (EFFECTIVE + BILLS, f"select r.workspace_id, r.bill_id, rec_status as reconciliation_status, {m('r.linked')} as linked_transaction_total, {m('r.difference')} as difference_amount, {m('coalesce(sum(f.spend) filter (where f.status = ' + chr(39) + 'POSTED' + chr(39) + '), 0)')} as posted_net_spending_total, {m('coalesce(sum(greatest(f.spend, 0)) filter (where f.status = ' + chr(39) + 'PENDING' + chr(39) + '), 0)')} as pending_purchase_total from recs r left join fx f on f.workspace_id = r.workspace_id and f.bill_id = r.bill_id and f.alive group by r.workspace_id, r.bill_id, rec_status, r.linked, r.difference"),
     "r11_payment_candidates": (EFFECTIVE, "select p.workspace_id, p.id as payment_id, e.id as transaction_id, 'CANDIDATE' as match_status, 'AMOUNT_DATE_ROLE_V1' as match_method, case when abs(e.amt) = p.amount and e.local_date = p.payment_date then '1.0000' else '0.9500' end as confidence from bill_payment p join tolerance tl on tl.currency = p.currency join eff e on e.workspace_id = p.workspace_id and e.status = 'POSTED' and e.alive and e.direction = 'OUTFLOW' and e.eff_role = 'CARD_BILL_PAYMENT' and e.ccy = p.currency and e.amt is not null and abs(abs(e.amt) - p.amount) <= tl.tolerance_amount and abs(date_diff('day', e.local_date, p.payment_date)) <= 2 and (e.bill_id is null or e.bill_id = p.bill_id) join account a on a.workspace_id = e.workspace_id and a.id = e.account_id and a.account_type in ('CHECKING', 'SAVINGS') and a.deleted_at is null where not exists (select 1 from reconciliation r where r.workspace_id = p.workspace_id and r.match_status in ('AUTO_MATCHED', 'USER_CONFIRMED') and (r.payment_id = p.id or r.transaction_id = e.id))"),
     "q1_source_report": (EFFECTIVE, QUALITY),
-    "q2_unclassified_queue": (EFFECTIVE, "select workspace_id, id, cast(local_date as varchar) as local_date, true as has_next from eff where deleted_at is null and status <> 'DELETED' and eff_category is null qualify row_number() over (partition by workspace_id order by local_date desc, id desc) <= 50"),
+    "q2_unclassified_queue": (EFFECTIVE, "select workspace_id, id, cast(local_date as varchar) as local_date, count(*) over (partition by workspace_id) > 50 as has_next from eff where deleted_at is null and status <> 'DELETED' and eff_category is null qualify row_number() over (partition by workspace_id order by local_date desc, id desc) <= 50"),
 }
 
 
