@@ -78,7 +78,7 @@ class Encoder:
         parts = []
         for chunk in chunks:
             head = chunk.rstrip(self.PUNCTUATION)
-            if head and head[-1].isalpha() and max(head) < "\u0130":
+            if head and head[-1].isalpha() and (head.isascii() or max(head) < "\u0130"):
                 parts.append((head.lower(), chunk[len(head) :]))
             else:
                 parts.append((chunk, ""))
@@ -106,6 +106,20 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+def places(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is in chosen, or -1: hash tables, one after another, each for the pairs that collided before."""
+    out, open_, left = np.full(len(keys), -1, np.int32), np.arange(len(keys)), np.arange(len(chosen), dtype=np.int32)
+    factor = np.uint32(0x9E3779B1)
+    while len(left) and len(open_):
+        table, slots = np.zeros(1 << 18, np.int32), chosen[left] * factor >> np.uint32(14)
+        table[slots] = left
+        found = table[keys[open_] * factor >> np.uint32(14)]
+        hit = chosen[found] == keys[open_]
+        out[open_[hit]] = found[hit]
+        open_, left, factor = open_[~hit], left[table[slots] != left], np.uint32((int(factor) * 3 + 2) & 0xFFFFFFFF)
+    return out
+
+
 def compress(ids: np.ndarray, terminals: int) -> bytes:
     """Re-Pair of one shard's ids (uint16)."""
     rules, lengths, sequence, total = [], [np.ones(terminals, np.uint32)], ids, terminals
@@ -126,8 +140,8 @@ def compress(ids: np.ndarray, terminals: int) -> bytes:
         lefts, rights = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
         lefts[chosen >> np.uint32(16)], rights[chosen & np.uint32(0xFFFF)] = True, True
         at = np.flatnonzero(lefts[sequence[:-1]] & rights[sequence[1:]])
-        rank = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(rank, len(chosen) - 1)] == keys[at]
+        rank = places(chosen, keys[at])
+        hit = rank >= 0
         at, rank = at[hit], rank[hit]
         # Of pairs that overlap in a run, every second one from the run's first.
         first = np.concatenate(([True], np.diff(at) != 1))
