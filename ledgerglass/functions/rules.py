@@ -137,7 +137,7 @@ def compile_condition(node: dict, facts: dict[str, Column]) -> Column:
     elif op == "starts_with":
         found = F.startswith(fact, lit(node["value"]))
     elif op == "regex_safe":
-        found = F.substring(fact, 1, INPUT).rlike("(?iu)" + safe_pattern(node["value"]))
+        found = (F.length(fact) <= INPUT) & fact.rlike("(?iu)" + safe_pattern(node["value"]))  # longer facts match nothing
     else:
         x = lit(node["value"])
         found = {"eq": fact == x, "neq": fact != x, "gt": fact > x, "gte": fact >= x, "lt": fact < x, "lte": fact <= x}[op]
