@@ -9,7 +9,7 @@ from ..functions import policy, text
 from ..functions.dates import bank_date
 from ..functions.money import plain
 from ..functions.rules import Rule, evaluate
-from ..operators import effects, freshness, matching, transactions, upsert
+from ..operators import classification, effects, freshness, matching, transactions, upsert
 from ..sources import provider
 from ..streaming import inbox
 from . import ledger, oracle
@@ -222,7 +222,27 @@ def v7_replacement_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(effects.replacement_review(led, links).select("workspace_id", "predecessor_id", "successor_id", "predecessor_date", "successor_date"))
 
 
-QUERIES = {f.__name__: f for f in (d3_classify, d7_transfers, d8_refunds, d9_replacements, k5_rules, k9_descriptions, k10_similarity, dml1_merge, dml2_revisions, dml2_collisions, src10_transactions, st1_latest_events, st6_reclaim, t1_transactions, b1_accounts, b1_bills, b2_coverage_for_range, v7_replacement_review)}
+def k13_merged_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = load(spark, sf_dir)
+    merges = led.merchant.where("id % 5 = 0").select("workspace_id", F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
+    return plain(classification.repoint(led.transaction.select("workspace_id", "id", "merchant_id"), ["merchant_id"], merges))
+
+
+def k14_category_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = load(spark, sf_dir)
+    tree = led.category.select("id", F.when(F.col("id") > 0, F.floor(F.col("id") / 2)).cast("bigint").alias("parent_id"))
+    return plain(classification.ancestors(tree))
+
+
+def k15_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = load(spark, sf_dir)
+    mode = F.when(F.col("id") % 3 == 0, "SET").when(F.col("id") % 3 == 1, "CLEAR").otherwise("INHERIT")
+    patches = led.transaction.where("id % 51 = 0 and id < 100000000000").select("workspace_id", F.col("id").alias("transaction_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 9 + 1).otherwise(F.lit(0)).alias("expected_version"), mode.alias("category_mode"), F.lit(6).cast("bigint").alias("category_value"))
+    fixed, _ = classification.correct(led.user_state, patches)
+    return plain(fixed.select("workspace_id", "transaction_id", "category_override", "category_value", "version"))
+
+
+QUERIES = {f.__name__: f for f in (d3_classify, d7_transfers, d8_refunds, d9_replacements, k5_rules, k9_descriptions, k10_similarity, dml1_merge, dml2_revisions, dml2_collisions, src10_transactions, st1_latest_events, st6_reclaim, t1_transactions, b1_accounts, b1_bills, b2_coverage_for_range, v7_replacement_review, k13_merged_merchants, k14_category_ancestors, k15_corrections)}
 
 
 def tail(head: str, more: str) -> str:
@@ -248,5 +268,8 @@ ORACLE_SQL = {
     "b1_accounts": tail(oracle.cte(), "select workspace_id, id as account_id, account_type, currency, name, cast(current_balance as varchar) as current_balance, is_active from account where deleted_at is null"),
     "b1_bills": tail(oracle.cte(), f"select b.workspace_id, b.id as bill_id, b.status, (select count(*) from bill_payment p where p.workspace_id = b.workspace_id and p.bill_id = b.id) as payments, (select {oracle.m('sum(p.amount)')} from bill_payment p where p.workspace_id = b.workspace_id and p.bill_id = b.id) as paid, (select count(*) from bill_charge c where c.workspace_id = b.workspace_id and c.bill_id = b.id) as charges, (select {oracle.m('sum(c.amount)')} from bill_charge c where c.workspace_id = b.workspace_id and c.bill_id = b.id) as charged from bill b"),
     "b2_coverage_for_range": tail(oracle.cte(), f"select workspace_id, id as account_id, case when earliest_date is null then 'HISTORY_UNKNOWN' when earliest_date > date '{oracle.START}' then 'STARTS_LATE' when latest_date is null or latest_date < date '{oracle.END}' then 'ENDS_EARLY' end as warning from account where deleted_at is null"),
+    "k13_merged_merchants": tail(oracle.cte(), 'select t.workspace_id, t.id, case when m.id is not null and m.id % 5 = 0 then m.id + 1 else t.merchant_id end as merchant_id from "transaction" t left join merchant m on m.workspace_id = t.workspace_id and m.id = t.merchant_id'),
+    "k14_category_ancestors": "with recursive c as (select cast(n_nationkey as bigint) as id, case when n_nationkey > 0 then cast(n_nationkey // 2 as bigint) end as parent_id from nation where n_nationkey < 9), up as (select id, parent_id as ancestor, cast(1 as bigint) as depth from c where parent_id is not null union all select up.id, c.parent_id, up.depth + 1 from up join c on c.id = up.ancestor where c.parent_id is not null) select id, ancestor, depth from up",
+    "k15_corrections": tail(oracle.cte(), "select workspace_id, transaction_id, case when f then transaction_id % 3 < 2 else category_override end as category_override, case when f then case when transaction_id % 3 = 0 then 6 end else category_value end as category_value, case when f then version + 1 else version end as version from (select *, transaction_id % 51 = 0 and transaction_id % 2 = 0 as f from user_state)"),
     "v7_replacement_review": tail(oracle.cte(), "select p.workspace_id, p.id as predecessor_id, s.id as successor_id, cast(p.local_date as varchar) as predecessor_date, cast(s.local_date as varchar) as successor_date from \"transaction\" p join \"transaction\" s on s.workspace_id = p.workspace_id and s.id = p.id + 1 where p.id % 1000 = 0"),
 }
