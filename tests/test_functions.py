@@ -125,3 +125,18 @@ def test_cursor():
     assert place(mark, {"from": "2026-01-01"}) == (date(2026, 1, 5), 7)
     with pytest.raises(ValueError):
         place(mark, {"from": "2026-01-02"})
+
+
+def test_corrections_and_hand_over(spark):
+    from ledgerglass.operators import classification
+
+    state = spark.createDataFrame([(1, 10, True, 3, 2), (1, 11, False, None, 1)], "workspace_id long, transaction_id long, category_override boolean, category_value long, version long")
+    patches = spark.createDataFrame([(1, 10, 2, "INHERIT", None), (1, 11, 9, "SET", 4), (1, 12, 0, "SET", 5)], "workspace_id long, transaction_id long, expected_version long, category_mode string, category_value long")
+    fixed, late = classification.correct(state, patches)
+    assert sorted(tuple(r)[1:] for r in fixed.collect()) == [(10, False, None, 3), (11, False, None, 1), (12, True, 5, 1)]
+    assert [r["transaction_id"] for r in late.collect()] == [11]
+    links = spark.createDataFrame([(1, 10, 20), (1, 10, 11)], "workspace_id long, predecessor_id long, successor_id long")
+    moved, conflict = classification.hand_over(state, links)
+    assert sorted(r["transaction_id"] for r in moved.collect()) == [10, 11, 20] and conflict.count() == 1
+    cats = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, parent_id long")
+    assert classification.would_cycle(cats, 1, 3) and not classification.would_cycle(cats, 3, 1)
