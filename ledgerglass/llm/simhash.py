@@ -12,6 +12,7 @@ it holds nothing else. Rows that repeat a doc_id keep their own fingerprints and
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches, settle, small_batches, texts_of
 
@@ -27,8 +29,12 @@ SEED, RADIUS = 42, 2
 #: Distinct fingerprints that the driver takes (as expected by their hashes) to place the upper vantage points; fingerprints a shard should hold.
 SAMPLE, SHARD_ROWS = 16_384, 24_576
 LEAF, CELLS = 768, 1 << 21
-#: Shingles of a piece in the mean, a power of two; pieces that stand for a text when near copies are looked for.
-PIECE, PIECES = 16, 8
+#: Documents whose shingles are counted and shingles taken as common, at most. They only order shingles; results never depend on them.
+COUNTED, COMMON = 8_192, 65_536
+#: Pairs of different groups for each row of the index, up to which all are compared without looking for leaders first.
+PAIRS_A_ROW = 4
+#: Ids up to which documents to compare are picked by a broadcast; more of them are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(text: str, words_per_shingle: int) -> np.ndarray:
@@ -57,19 +63,22 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
     return print_of(shingle_hashes(text, words_per_shingle))
 
 
-def piece_prints(hashes: np.ndarray) -> np.ndarray:
-    """Fingerprints of a text's pieces, PIECES of them with the lowest mixed values. Pieces end where a shingle's hash says so, so an edit changes few."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    starts = np.concatenate(([0], np.flatnonzero(hashes[:-1] & np.uint64(PIECE - 1) == 0) + 1))
-    sizes, found = np.diff(np.append(starts, len(hashes))), []
-    for at in range(0, len(starts), 1 << 10):  # bounded memory for long texts
-        some = starts[at : at + (1 << 10)]
-        end = int(some[-1] + sizes[at : at + (1 << 10)][-1])
-        counts = np.add.reduceat(votes(hashes[some[0] : end]).astype(np.int32), some - some[0], axis=0)
-        found.append(np.packbits(2 * counts > sizes[at : at + (1 << 10), None], axis=1).view(np.uint64).reshape(-1))
-    prints = np.unique(np.concatenate(found))
-    return prints[np.argsort(prints * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:PIECES]]
+def prefix_of(distinct: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, common ones last, and how many are not common: two sets that are so similar share one of the first."""
+    if not len(distinct):
+        return distinct, 0
+    rank = np.zeros(len(distinct), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+        rank = np.where(common[at] == distinct, ranks[at], 0)
+    least = math.ceil(similarity * len(distinct) - 1e-9)
+    first = np.lexsort((distinct, rank))[: len(distinct) - least + 1]
+    return distinct[first], int((rank[first] == 0).sum())
+
+
+def node_of(distinct: np.ndarray) -> int:
+    """What stands for a set of shingles; signed."""
+    return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
@@ -241,55 +250,80 @@ def components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return name_components(settle(fingerprints(docs, words_per_shingle), "fingerprints"))
 
 
-def sketches(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """doc_id, fp, pieces (fingerprints), shingles (number of distinct ones)."""
+def common_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of COUNTED documents have, ascending, and their ranks by frequency (from 1)."""
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, COUNTED / max(1, docs.count())) * (1 << 40))
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts_of(batch)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+        return apply
+
+    small_batches(docs.sparkSession)
+    counted = map_batches(docs.where(low).select("doc_id", "text"), make, "token bigint").groupBy("token").count().where("count > 1")
+    tokens = np.array([r["token"] for r in counted.orderBy(F.desc("count"), "token").limit(COMMON).collect()], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], len(tokens) - order
+
+
+def sketches(docs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """doc_id, fp, node (stands for the set of shingles), shingles (number of distinct ones), prefix (shingles to find similar sets by), rare (how many of them are not common)."""
+    common, ranks = common_shingles(docs, words_per_shingle)
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashes = [shingle_hashes(t, words_per_shingle) for t in texts_of(batch)]
             fp = np.array([print_of(h) for h in hashes], np.uint64).view(np.int64)
-            pieces = pa.array([piece_prints(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pieces, pa.array([len(np.unique(h)) for h in hashes], pa.int64())], ["doc_id", "fp", "pieces", "shingles"])
+            sets = [np.unique(h) for h in hashes]
+            first = [prefix_of(u, common, ranks, similarity) for u in sets]
+            prefix, rare = pa.array([p.view(np.int64) for p, _ in first], pa.list_(pa.int64())), pa.array([r for _, r in first], pa.int64())
+            nodes, sizes = pa.array([node_of(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), nodes, sizes, prefix, rare], ["doc_id", "fp", "node", "shingles", "prefix", "rare"])
 
         return apply
 
     small_batches(docs.sparkSession)
-    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "doc_id bigint, fp bigint, pieces array<bigint>, shingles bigint")
+    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), make, "doc_id bigint, fp bigint, node bigint, shingles bigint, prefix array<bigint>, rare bigint")
 
 
 def shingle_sets(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """doc_id, shingles: the distinct shingle hashes in order, 32 bits of each."""
+    """node, shingles: the distinct shingle hashes in order."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique((shingle_hashes(t, words_per_shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts_of(batch)]
+            return pa.RecordBatch.from_arrays([pa.array([node_of(u) for u in sets], pa.int64()), pa.array([u.astype("<u8").tobytes() for u in sets], pa.binary())], ["node", "shingles"])
 
         return apply
 
     small_batches(docs.sparkSession)
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, shingles binary")
+    return map_batches(docs.select("doc_id", "text"), make, "node bigint, shingles binary")
 
 
-def near_links(docs: DataFrame, found: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
-    """hi, lo: pairs of documents that share a piece's fingerprint and whose shingle sets are so similar.
+def print_links(prints: DataFrame) -> DataFrame:
+    """hi, lo: links between nodes whose fingerprints are within RADIUS bits, enough to join them all."""
+    distinct = settle(prints.groupBy("fp").agg(F.min("node").alias("node")), "distinct")
+    same = prints.select("fp", F.col("node").alias("hi")).distinct().join(distinct.withColumnRenamed("node", "lo"), "fp").select("hi", "lo")
+    near = spanning_links(distinct).join(distinct.toDF("hi", "a"), "hi").join(distinct.toDF("lo", "b"), "lo")
+    return same.union(near.select(F.greatest("a", "b"), F.least("a", "b")))
 
-    A piece links each of its documents to the first one only, so pairs do not grow with the square of a group.
-    """
-    sizes = found.select("doc_id", F.explode("pieces").alias("piece"), "shingles")
-    first = sizes.groupBy("piece").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n"), F.min_by("shingles", "doc_id").alias("lo_shingles")).where("n > 1")
-    pairs = sizes.join(first, "piece").where(F.col("doc_id") > F.col("lo"))
-    # No two sets are more similar than their sizes.
-    pairs = settle(pairs.where(F.least("shingles", "lo_shingles") >= similarity * F.greatest("shingles", "lo_shingles")).select(F.col("doc_id").alias("hi"), "lo").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct()
-    sets = settle(shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id"), words_per_shingle).dropDuplicates(["doc_id"]), "shingles")
+
+def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """hi, lo: those of the pairs whose shingle sets are so similar."""
+    asked = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    ids = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(asked, "node").select("doc_id").distinct()
+    ids = settle(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = settle(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id"), words_per_shingle).dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.toDF("lo", "b"), "lo").join(sets.toDF("hi", "a"), "hi").select("hi", "lo", "a", "b")
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             alike = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(common >= similarity * (len(x) + len(y) - common))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["hi", "lo"]).filter(pa.array(alike, pa.bool_()))
@@ -300,18 +334,64 @@ def near_links(docs: DataFrame, found: DataFrame, words_per_shingle: int, simila
     return map_batches(both, make, "hi bigint, lo bigint")
 
 
+def close(docs: DataFrame, prints: DataFrame, labels: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """node, root after joining all groups that hold a pair of sets so similar.
+
+    Similar sets share shingles of their prefixes, so every pair of different groups that shares enough is compared. While
+    such pairs are many, each shingle's documents are compared with one leader first, which joins large groups in linear
+    work; once that no longer halves the pairs, all of them are compared.
+    """
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    tokens = rooted(prints.select("node", "shingles", "prefix", "rare")).select("node", "shingles", "root", "rare", F.posexplode("prefix").alias("place", "token"))
+    # Rare shingles meet in one shuffle; common ones, which would meet in few tasks, are a bounded number of groups.
+    common = tokens.where("place >= rare")
+    shared = common.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
+    here = Window.partitionBy("token")
+    met = tokens.where("place < rare").select("token", "node", "shingles", "root").select("*", F.min("root").over(here).alias("a"), F.max("root").over(here).alias("b")).where("a < b")
+    index = met.select("token", "node", "shingles").union(common.join(F.broadcast(shared), "token").select("token", "node", "shingles"))
+    index, before, turn = settle(index.distinct(), "index"), None, 0
+    while True:
+        rows = settle(rooted(index), "rows")
+        roots = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
+        sums = roots.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"), F.max_by("root", F.struct("n", "root")).alias("most"))
+        sums = settle(sums.where("own < n * cast(n as double)"), "sums")
+        size, cross = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
+        if not cross:
+            return labels
+        every = cross <= PAIRS_A_ROW * size or (before is not None and cross > before / 2)
+        before, turn = cross, turn + 1
+        if every:
+            some = rows.join(sums.select("token", "most"), "token").where("root <> most")
+        else:
+            lead = F.min_by(F.struct("token", "node", "shingles", "root"), F.xxhash64("node", F.lit(turn))).alias("x")
+            some = rows.join(sums.select("token"), "token").groupBy("token").agg(lead).select("x.*", F.lit(None).cast("bigint").alias("most"))
+        some = some.toDF(*[c if c == "token" else f"{c}_b" for c in some.columns])
+        # A pair once a shingle: with a node of the largest group, or in order. No two sets are more similar than their sizes.
+        once = (F.col("root") == F.col("most_b")) | (F.col("node") < F.col("node_b")) if every else F.lit(True)
+        able = F.least("shingles", "shingles_b") >= similarity * F.greatest("shingles", "shingles_b") - 1e-6
+        pairs = rows.join(some, "token").where((F.col("root") != F.col("root_b")) & once & able)
+        ends = F.struct(F.greatest("node", "node_b").alias("hi"), F.least("node", "node_b").alias("lo"), (F.col("shingles") + F.col("shingles_b")).alias("sum"), F.greatest("shingles", "shingles_b").alias("most"))
+        pairs = pairs.select(ends.alias("x")).groupBy("x").agg(F.count("*").alias("n")).select("x.*", "n")
+        if every:  # all shared shingles of both prefixes are counted, and behind the prefix that ends first there are ceil(similarity * size) - 1 at most
+            pairs = pairs.where(F.col("n") + F.ceil(similarity * F.col("most") - 1e-9) - 1 >= similarity / (1 + similarity) * F.col("sum") - 1e-6)
+        pairs = settle(pairs.select("hi", "lo"), "pairs")
+        labels = contract(labels.toDF("hi", "lo").union(similar(docs, prints, pairs, words_per_shingle, similarity)))
+        if every:
+            return labels
+
+
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group: the one with the least doc_id. All columns stay.
 
-    Documents group if their fingerprints link within RADIUS bits, and, among what that leaves, if they share the
-    fingerprint of a piece and their shingle sets are `similarity` alike. Rows without an id stay as they are; of rows
-    that repeat an id, one stays.
+    Documents group if their fingerprints link within RADIUS bits or their shingle sets are `similarity` alike; both
+    kinds of links are closed together. Rows without an id stay as they are; of rows that repeat an id, one stays.
     """
-    prints = settle(sketches(docs, words_per_shingle), "sketches")
-    named = name_components(prints.select("doc_id", "fp"))
-    single = settle(named.where("doc_id = component_id").select("doc_id").distinct(), "single")
-    left = prints.join(single, "doc_id").dropDuplicates(["doc_id"])
-    more = contract(near_links(docs, left, words_per_shingle, similarity)).select(F.col("node").alias("doc_id"))
-    kept = single.join(more, "doc_id", "left_anti").select(F.col("doc_id").alias("__kept"))
+    prints = settle(sketches(docs, words_per_shingle, similarity), "sketches")
+    labels = close(docs, prints, contract(print_links(prints)), words_per_shingle, similarity)
+    rooted = prints.select("doc_id", "node").distinct().join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
     rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return rows.union(docs.where("doc_id is null"))

@@ -125,6 +125,43 @@ def test_near_copies(spark):
     assert sorted(r[0] for r in simhash.keep_one(docs).select("doc_id").collect()) == [0, 2, 3]
 
 
+def plain_groups(texts, similarity=0.8):
+    """The least place of each text's group, by comparing all pairs."""
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    prints, sets = [simhash.print_of(h) for h in hashes], [set(h.tolist()) for h in hashes]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2 or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((top[i], top[j]))
+                top = [a if t == b else t for t in top]
+    return sorted(set(top))
+
+
+def kept_of(spark, texts):
+    return sorted(r[0] for r in simhash.keep_one(documents(spark, texts)).select("doc_id").collect())
+
+
+def invented(dice, count):
+    return ["".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=dice.randint(3, 8))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("pairs_a_row", [4, 0])
+def test_near_copies_among_shared_passages(spark, monkeypatch, pairs_a_row):
+    monkeypatch.setattr(simhash, "PAIRS_A_ROW", pairs_a_row)
+    dice = random.Random(3)
+    passages = [" ".join(invented(dice, 100)) for _ in range(20)]
+    texts = [" ".join(dice.sample(passages, 5)) for _ in range(80)]
+    for _ in range(25):
+        words = " ".join(dice.sample(passages, 5) + invented(dice, 20)).split()
+        other = list(words)
+        for k in dice.sample(range(len(words)), 9):
+            other[k] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    assert kept_of(spark, texts) == plain_groups(texts)
+
+
+
 def test_vantage_trees_miss_no_link(spark, monkeypatch):
     dice = random.Random(4)
     points = set()
