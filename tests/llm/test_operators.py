@@ -160,6 +160,16 @@ def test_near_copies_among_shared_passages(spark, monkeypatch, pairs_a_row):
         texts += [" ".join(words), " ".join(other)]
     assert kept_of(spark, texts) == plain_groups(texts)
 
+def test_short_near_copies(spark):
+    dice = random.Random(5)
+    texts = []
+    for n in [30] * 120 + [50] * 60:
+        words = invented(dice, n)
+        other = list(words)
+        other[dice.choice([0, 1, n - 2, n - 1])] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    assert kept_of(spark, texts) == plain_groups(texts)
+
 
 
 def test_vantage_trees_miss_no_link(spark, monkeypatch):
