@@ -171,6 +171,14 @@ def test_short_near_copies(spark):
     assert kept_of(spark, texts) == plain_groups(texts)
 
 
+def test_links_of_both_kinds_close_together(spark):
+    dice = random.Random(6)
+    refrain, tails = " ".join(invented(dice, 7) * 60), [" ".join(invented(dice, 60)) for _ in range(3)]
+    # 0 and 1 have one fingerprint and other sets, 1 and 2 like sets and other fingerprints.
+    texts = [f"{refrain} {tails[0]}", f"{refrain} {tails[1]}", f"{refrain.split()[0]} {tails[1]}", tails[2]]
+    assert plain_groups(texts) == [0, 3]
+    assert kept_of(spark, texts) == [0, 3]
+
 
 def test_vantage_trees_miss_no_link(spark, monkeypatch):
     dice = random.Random(4)
