@@ -5,15 +5,18 @@ windows of any documents have one minimiser, and consecutive windows that share
 string to that minimiser's bucket. Steps:
 
 1. every document lists its super-k-mers: place, number of windows, minimiser, hash of the packed string (no text);
-2. equal super-k-mers collapse to one row with their first document (partial aggregation, so hot passages stay small);
-   minimisers met by one document alone drop out, and those with a single packed string need no text at all;
+2. minimisers met by one document alone drop out (one grouping of numbers); equal super-k-mers of the others collapse to
+   one row with their first document, and minimisers with a single packed string need no text at all;
 3. of the rest, the first document of each distinct super-k-mer packs it and sends it to the bucket of its minimiser,
-   where the windows of all packed strings are sorted and each learns the first document that has it;
+   where the windows of all packed strings are sorted and each learns the first document that has it; buckets beyond
+   HOT_STRINGS or HOT_WINDOWS are dealt by window instead: a string sends its distinct windows as two independent 64-bit
+   hashes each, and they are grouped;
 4. every document joins its super-k-mers to those answers and drops the words that an earlier document's windows cover.
 
 A super-k-mer is known by minimiser and packed hash together (two independent 64-bit hashes); inside a bucket, windows
 are compared word by word. Null text has no words. Rows without doc_id are never earlier than others and are kept
-whole; rows that repeat a doc_id are told apart by their text and never shorten each other.
+whole; rows that repeat a doc_id are told apart by their text and never shorten each other. Repeated rows cost what they
+hold: what is asked and answered is distinct.
 """
 
 from __future__ import annotations
@@ -28,11 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, settle, small_batches, texts_of
+from .common import discard, fresh, map_batches, settle, small_batches, texts_of
 
 WINDOW, MINIMISER = 50, 8
-#: Words of one bucket whose windows are compared at once, so that buckets of few words share one pass.
-BUCKET_WORDS = 400_000
+#: Words of buckets whose windows are compared at once, so that buckets of few words share one pass.
+BUCKET_WORDS = 150_000
+#: Distinct strings and windows of one minimiser beyond which its windows are dealt one by one.
+HOT_STRINGS, HOT_WINDOWS = 512, 16_384
+#: Windows of hot buckets in several strings up to which they are broadcast (24 bytes each); more of them are shuffled.
+BROADCAST_WINDOWS = 200_000
+PACKED = "minimiser bigint, packed_hash bigint, first_doc bigint, packed binary, a array<bigint>, b array<bigint>, which array<int>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,8 +53,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(7)), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 7) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -109,21 +117,31 @@ def list_super_kmers(docs: DataFrame) -> DataFrame:
 
 
 def pack_asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """minimiser, packed_hash, first_doc, packed: the strings that documents are asked for."""
-    wanted = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "windows", "minimiser", "packed_hash")).alias("asked"))
+    """minimiser, packed_hash, first_doc, and packed (the string), or a and b (two hashes of each distinct window) and which of them each window is, where the bucket is hot."""
+    wanted = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "windows", "minimiser", "packed_hash", "hot")).alias("asked"))
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for doc_id, text, items in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text)
-                rows += [(x["minimiser"], x["packed_hash"], doc_id, pack(words, x["first"], x["windows"])) for x in items]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["minimiser", "packed_hash", "first_doc", "packed"])
+                for x in items:
+                    first, n = x["first"], x["windows"]
+                    packed = a = b = which = None
+                    if x["hot"]:
+                        both = np.stack([runs(word_hashes(words[first : first + n + WINDOW - 1], seed), WINDOW).view(np.int64) for seed in (7, 13)], 1)
+                        both, which = np.unique(both, axis=0, return_inverse=True)
+                        a, b, which = both[:, 0], both[:, 1], which.reshape(-1).astype(np.int32)
+                    else:
+                        packed = pack(words, first, n)
+                    rows.append((x["minimiser"], x["packed_hash"], doc_id, packed, a, b, which))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], ["minimiser", "packed_hash", "first_doc", "packed", "a", "b", "which"])
 
         return apply
 
-    return map_batches(docs.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text", "asked"), make, "minimiser bigint, packed_hash bigint, first_doc bigint, packed binary")
+    small_batches(docs.sparkSession)
+    return map_batches(docs.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text", "asked"), make, PACKED)
 
 
 def first_documents(packed: list[bytes], docs: np.ndarray, window: int = WINDOW) -> list[list[int]]:
@@ -172,6 +190,8 @@ def answer(packed: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:2] == row[:2]:
+                    continue  # a repeated row's string
                 if size > BUCKET_WORDS and held[-1][0] != row[0]:
                     yield flush(held)
                     held, size = [], 0
@@ -180,23 +200,48 @@ def answer(packed: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    dealt = packed.repartition(F.col("minimiser")).sortWithinPartitions("minimiser")
+    some = packed.where("packed is not null").select("minimiser", "packed_hash", "first_doc", "packed")
+    dealt = some.repartition(F.col("minimiser")).sortWithinPartitions("minimiser", "packed_hash")
     return dealt.mapInArrow(run, "minimiser bigint, packed_hash bigint, first_doc bigint, firsts array<bigint>")
 
 
+def hot_windows(packed: DataFrame) -> DataFrame:
+    """minimiser, packed_hash, first_doc, k, a, b: a row for each distinct window of each string of a hot bucket."""
+    key = ["minimiser", "packed_hash", "first_doc"]
+    strings = packed.where("packed is null").dropDuplicates(key)
+    return strings.select(*key, F.posexplode(F.arrays_zip("a", "b")).alias("k", "w")).select(*key, "k", "w.a", "w.b")
+
+
+def answer_hot(packed: DataFrame, windows: DataFrame, least: DataFrame) -> DataFrame:
+    """The same as `answer` for hot buckets. least: a, b, d (first document) of the windows that several strings have."""
+    key = ["minimiser", "packed_hash", "first_doc"]
+    small = least.count() <= BROADCAST_WINDOWS
+    earlier = windows.join(F.broadcast(least) if small else least, ["a", "b"]).where("d < first_doc")
+    known = earlier.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", "d"))).alias("known"))
+    strings = packed.where("packed is null").select(*key, "which").dropDuplicates(key)
+    firsts = F.transform("which", lambda k: F.coalesce(F.element_at("known", k), F.col("first_doc")))
+    return strings.join(known, key, "left").select(*key, firsts.alias("firsts"))
+
+
 def covers(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, covers: (place of the first word, number of words) of windows that an earlier document has."""
     kmers = settle(list_super_kmers(docs), "super-kmers")
-    # One row for each distinct super-k-mer: its first document, where it stands there, and its last document.
-    distinct = kmers.groupBy("minimiser", "packed_hash").agg(F.min(F.struct("doc_id", "text_hash", "first", "windows")).alias("at"), F.max("doc_id").alias("last_doc"))
-    buckets = distinct.groupBy("minimiser").agg(F.count("*").alias("strings"), F.min("at.doc_id").alias("low"), F.max("last_doc").alias("high")).where("low < high").select("minimiser", "strings")
-    shared = settle(distinct.join(buckets, "minimiser").select("minimiser", "packed_hash", "at.*", "strings"), "shared")
-    asked = shared.where("strings > 1").drop("strings")
-    answers = answer(pack_asked(docs, asked)).unionByName(
-        shared.where("strings = 1").select("minimiser", "packed_hash", F.col("doc_id").alias("first_doc"), F.lit(None).cast("array<bigint>").alias("firsts"))
-    )
+    met = settle(kmers.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("minimiser"), "minimisers")
+    hits = settle(kmers.join(met, "minimiser"), "hits")
+    discard(kmers, met)
+    # One row for each distinct super-k-mer: its first document, and where it stands there.
+    strings = hits.groupBy("minimiser", "packed_hash").agg(F.min(F.struct("doc_id", "text_hash", "first", "windows")).alias("at")).select("minimiser", "packed_hash", "at.*")
+    strings = settle(strings, "strings")
+    buckets = strings.groupBy("minimiser").agg(F.count("*").alias("strings"), F.sum("windows").alias("all_windows"))
+    buckets = settle(buckets.select("minimiser", "strings", F.expr(f"strings > {HOT_STRINGS} or all_windows > {HOT_WINDOWS}").alias("hot")), "buckets")
+    asked = settle(strings.join(buckets.where("strings > 1"), "minimiser").drop("strings"), "asked")
+    packed = settle(pack_asked(docs, asked), "packed")
+    alone = strings.join(buckets.where("strings = 1"), "minimiser").select("minimiser", "packed_hash", F.col("doc_id").alias("first_doc"), F.lit(None).cast("array<bigint>").alias("firsts"))
+    windows = settle(hot_windows(packed), "hot-windows")
+    least = settle(windows.groupBy("a", "b").agg(F.min("first_doc").alias("d"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    answers = answer(packed).unionByName(answer_hot(packed, windows, least)).unionByName(alone)
     # Without `firsts`, every window of the string was first met in first_doc.
-    hit = kmers.join(answers, ["minimiser", "packed_hash"]).where(F.coalesce(F.array_min("firsts"), F.col("first_doc")) < F.col("doc_id"))
+    hit = hits.join(answers, ["minimiser", "packed_hash"]).where(F.coalesce(F.array_min("firsts"), F.col("first_doc")) < F.col("doc_id"))
     whole = F.array(F.struct(F.col("first").alias("first"), (F.col("windows") + WINDOW - 1).alias("words")))
     some = F.transform(
         F.filter(F.arrays_zip(F.sequence(F.lit(0), F.col("windows") - 1).alias("k"), F.col("firsts").alias("d")), lambda x: x["d"] < F.col("doc_id")),
@@ -204,7 +249,9 @@ def covers(docs: DataFrame) -> DataFrame:
     )
     all_earlier = F.col("firsts").isNull() | (F.array_max("firsts") < F.col("doc_id"))
     spans = hit.select("doc_id", "text_hash", F.when(all_earlier, whole).otherwise(some).alias("spans"))
-    return spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("covers"))
+    found = settle(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("covers")), "covers")
+    discard(hits, strings, buckets, asked, packed, windows, least)
+    return found
 
 
 def keep_flags(n: int, spans: list | None) -> np.ndarray:
@@ -217,10 +264,10 @@ def keep_flags(n: int, spans: list | None) -> np.ndarray:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """The documents' columns, with `__covers` beside them."""
-    known = docs.withColumn("__hash", F.xxhash64("text"))
-    found = covers(known.select("doc_id", F.col("__hash").alias("text_hash"), "text")).toDF("__doc", "__of", "__covers")
-    return known.join(found, (known["doc_id"] == found["__doc"]) & (known["__hash"] == found["__of"]), "left")
+    """The documents' columns, with their covers behind them."""
+    found = covers(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
+    same = (docs["doc_id"] == found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_hash"])
+    return docs.join(found, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], found["covers"].alias(fresh(docs, "covers")))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -239,7 +286,7 @@ def digests(docs: DataFrame) -> DataFrame:
         return apply
 
     small_batches(docs.sparkSession)
-    return map_batches(joined(docs.select("doc_id", "text")).select("doc_id", "text", "__covers"), make, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_batches(joined(docs.select("doc_id", "text")), make, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -252,7 +299,7 @@ def remove(docs: DataFrame) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            for k, spans in enumerate(batch.column(batch.schema.get_field_index("__covers")).to_pylist()):
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans and texts[k]:
                     words = words_of(texts[k])
                     texts[k] = b" ".join([w for w, stay in zip(words, keep_flags(len(words), spans).tolist(), strict=True) if stay]).decode("utf-8")
@@ -262,5 +309,22 @@ def remove(docs: DataFrame) -> DataFrame:
         return apply
 
     small_batches(docs.sparkSession)
-    full = joined(docs).select(*[F.col(f"`{c}`") for c in docs.columns], "__covers")
-    return map_batches(full, make, docs.schema)
+    return map_batches(joined(docs), make, docs.schema)
+
+
+def sql(documents: str = "documents") -> str:
+    """The rows of `digests` in DuckDB's SQL, with windows as strings."""
+    return f"""
+    with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from {documents}),
+    windows as (select doc_id, place, array_to_string(list_slice(words, place, place + {WINDOW - 1}), ' ') as win
+                from (select doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) as place from texts)),
+    firsts as (select win, min(doc_id) as low from windows group by win),
+    bad as (select doc_id, place from windows join firsts using (win) where low < doc_id),
+    words as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from texts),
+    flagged as (select w.doc_id, w.place, w.word,
+                       max(case when b.place is not null then 1 else 0 end)
+                           over (partition by w.doc_id order by w.place rows between {WINDOW - 1} preceding and current row) as gone
+                from words w left join bad b on b.doc_id = w.doc_id and b.place = w.place),
+    kept as (select doc_id, sum(gone) as n_removed, string_agg(case when gone = 0 then word end, ' ' order by place) as text from flagged group by doc_id)
+    select t.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+    from texts t left join kept k on k.doc_id = t.doc_id"""
