@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, total
@@ -95,3 +95,23 @@ def resolve_candidate(candidates: DataFrame, payment: int, transaction: int, con
     this = (F.col("payment_id") == payment) & (F.col("transaction_id") == transaction)
     rival = ((F.col("payment_id") == payment) | (F.col("transaction_id") == transaction)) & (F.col("match_status") == "CANDIDATE") & F.lit(confirm)
     return candidates.withColumn("match_status", F.when(this, "USER_CONFIRMED" if confirm else "REJECTED").when(rival, "REJECTED").otherwise(F.col("match_status")))
+
+
+def resolve_all(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The candidates after decisions (workspace_id, payment_id, transaction_id, confirm): a confirmed one rejects the open others of its payment and of its transaction."""
+    key = ["workspace_id", "payment_id", "transaction_id"]
+    rows = candidates.join(decisions.select(*key, "confirm"), key, "left")
+    won = decisions.where("confirm")
+    for column in ("payment_id", "transaction_id"):
+        taken = won.select("workspace_id", column).distinct().withColumn(f"taken_{column}", F.lit(True))
+        rows = rows.join(taken, ["workspace_id", column], "left")
+    rival = F.coalesce("taken_payment_id", "taken_transaction_id", F.lit(False)) & (F.col("match_status") == "CANDIDATE")
+    status = F.when(F.col("confirm"), "USER_CONFIRMED").when(~F.col("confirm"), "REJECTED").when(rival, "REJECTED").otherwise(F.col("match_status"))
+    return rows.withColumn("match_status", status).select(*candidates.columns)
+
+
+def candidate_list(led: Ledger, candidates: DataFrame, top: int = 20) -> DataFrame:
+    """The best `top` candidates of each bill: the surest first, then by payment and transaction."""
+    of = led.bill_payment.select("workspace_id", F.col("id").alias("payment_id"), "bill_id")
+    order = Window.partitionBy("workspace_id", "bill_id").orderBy(F.col("confidence").desc(), "payment_id", "transaction_id")
+    return candidates.join(of, ["workspace_id", "payment_id"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY, share
 from ..plans.ledger import Ledger
 from .effects import effective, effects
+from .freshness import freshness
 
 MONTHS_BOUND, SERIES_BOUND, LOOKBACK_DAYS, LEAST_SEEN = 1200, 100, 730, 3
 #: Cadence: shortest and longest median interval, most deviation (fixed values).
@@ -42,11 +43,13 @@ def instalment_list(led: Ledger, review_states: bool = True, top: int = SERIES_B
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def instalment_months(led: Ledger) -> DataFrame:
-    """What confirmed series still cost in each month."""
+def instalment_months(led: Ledger, top: int = MONTHS_BOUND) -> DataFrame:
+    """What confirmed series still cost in each month; the first `top` rows of each workspace, by month and currency."""
     open_ = instalment_commitments(led).where((F.col("status") == "CONFIRMED") & (F.col("remaining_instalments") > 0) & F.col("estimated_amount").isNotNull() & F.col("purchase_date").isNotNull())
     each = open_.select("workspace_id", "currency", "estimated_amount", "purchase_date", F.explode(F.sequence(F.col("highest_confirmed").cast("int"), (F.col("total_instalments") - 1).cast("int"))).alias("k"))
-    return each.groupBy("workspace_id", month_of(F.col("purchase_date"), F.col("k")).alias("month"), "currency").agg(F.sum("estimated_amount").cast(MONEY).alias("estimated_amount"), F.count("*").alias("instalment_count"))
+    rows = each.groupBy("workspace_id", month_of(F.col("purchase_date"), F.col("k")).alias("month"), "currency").agg(F.sum("estimated_amount").cast(MONEY).alias("estimated_amount"), F.count("*").alias("instalment_count"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("workspace_id").orderBy("month", "currency")))
+    return ranked.where(F.col("rank") <= top).drop("rank")
 
 
 def countable(led: Ledger) -> DataFrame:
@@ -111,3 +114,34 @@ def resolve_recurring(series: DataFrame, which: int, confirm: bool) -> DataFrame
     """A candidate's state after a decision; a second one changes nothing."""
     now = (F.col("id") == which) & (F.col("status") == "CANDIDATE")
     return series.withColumn("status", F.when(now, "CONFIRMED" if confirm else "REJECTED").otherwise(F.col("status")))
+
+
+def resolve_all(series: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Series after decisions (workspace_id, id, confirm), and an audit row for each that changed something."""
+    key = ["workspace_id", "id"]
+    rows = series.join(decisions.groupBy(*key).agg(F.max("confirm").alias("confirm")), key, "left")
+    now = F.col("confirm").isNotNull() & (F.col("status") == "CANDIDATE")
+    word = F.when(F.col("confirm"), "CONFIRMED").otherwise("REJECTED")
+    audit = rows.where(now).select(*key, F.concat(F.lit("RECURRING_SERIES_"), word).alias("event_type"))
+    return rows.withColumn("status", F.when(now, word).otherwise(F.col("status"))).select(*series.columns), audit
+
+
+def instalment_warnings(led: Ledger, now: str, top: int = SERIES_BOUND) -> DataFrame:
+    """Per workspace, what the instalment list leaves open: estimated or not, how many series have no month, how many transactions no amount, accounts that are stale or need attention, and whether the list is cut."""
+    fresh = freshness(led, now).groupBy("workspace_id").agg(F.count_if("is_stale").alias("stale"), F.count_if("needs_attention").alias("attention"))
+    rows = instalment_list(led, top=top + 1)
+    shown = (F.col("rank") <= top) & (F.col("remaining_instalments") > 0) & (F.col("status") == "CONFIRMED")
+    told = rows.groupBy("workspace_id").agg(
+        F.coalesce(F.max(shown), F.lit(False)).alias("estimated"),
+        F.count_if(shown & (F.col("estimated_amount").isNull() | F.col("purchase_date").isNull())).alias("unallocated"),
+        F.sum(F.when(F.col("rank") <= top, F.col("unconverted_transaction_count")).otherwise(0)).alias("unconverted"),
+        (F.max("rank") > top).alias("truncated"),
+    )
+    return fresh.join(told, "workspace_id", "left").na.fill(False, ["estimated", "truncated"]).na.fill(0, ["unallocated", "unconverted"])
+
+
+def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """The rows, or an error if they are more than a report may hold; counts one row beyond the bound at most."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy
@@ -30,11 +30,16 @@ def effective(led: Ledger) -> DataFrame:
     )
 
 
-def effects(led: Ledger) -> DataFrame:
-    """Both effects in one pass: the account's type joins once, and spending and cash are two columns of the same row."""
+def effects(led: Ledger, representation: Column | None = None) -> DataFrame:
+    """Both effects in one pass: the account's type joins once, and spending and cash are two columns of the same row.
+
+    Rows that are only evidence of a bill (representation BILL_PAYMENT_EVIDENCE or BILL_FINANCE_CHARGE_EVIDENCE) count nothing.
+    """
     e = effective(led)
     types = led.account.select("workspace_id", F.col("id").alias("account_id"), "account_type")
     gone = policy.gone(F.col("deleted_at"), F.col("status"), F.col("duplicate_status"))
+    if representation is not None:
+        gone = gone | F.coalesce(representation.isin("BILL_FINANCE_CHARGE_EVIDENCE", "BILL_PAYMENT_EVIDENCE"), F.lit(False))
     return e.join(types, ["workspace_id", "account_id"]).select(
         *e.columns,
         "account_type",

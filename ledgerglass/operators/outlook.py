@@ -34,9 +34,17 @@ def finding(rule: str, on: Column, observed: Column, baseline: Column | None, th
 
 def amount_spikes(led: Ledger, as_of: date) -> DataFrame:
     """This month's purchases above 1.5 times the median of three or more earlier ones of the merchant."""
-    before = Window.partitionBy("workspace_id", "effective_merchant", "currency").orderBy("local_date", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = recent(led, as_of).join(confirmed_merchants(led), ["workspace_id", "effective_merchant"])
-    rows = rows.withColumns({"seen": F.count("*").over(before), "median": F.percentile(F.col("spend").cast("double"), F.lit(0.5)).over(before).cast(MONEY)})
+    key, first = ["workspace_id", "effective_merchant", "currency"], F.lit(as_of.replace(day=1))
+    every = recent(led, as_of).join(confirmed_merchants(led), key[:2])
+    columns = [*key, "local_date", "id", "spend", "merchant_label"]
+    now = every.where(F.col("local_date") >= first).select(*columns, F.lit(1).cast("bigint").alias("times"))
+    # Only merchants with a row this month, and of the time before only how often each amount was seen.
+    then = every.where(F.col("local_date") < first).join(now.select(*key).distinct(), key, "left_semi")
+    then = then.groupBy(*key, "spend").agg(F.min("merchant_label").alias("merchant_label"), F.count("*").alias("times"))
+    then = then.select(*key, F.lit(None).cast("date").alias("local_date"), F.lit(None).cast("bigint").alias("id"), "spend", "merchant_label", "times")
+    before = Window.partitionBy(*key).orderBy("local_date", "id").rowsBetween(Window.unboundedPreceding, -1)
+    median = F.percentile(F.col("spend").cast("double"), F.lit(0.5), F.col("times")).over(before).cast(MONEY)
+    rows = now.unionByName(then).withColumns({"seen": F.sum("times").over(before), "median": median})
     high = rows.where((F.col("local_date") >= F.lit(as_of.replace(day=1))) & (F.col("seen") >= 3) & (F.col("median") > 0) & (F.col("spend") * 2 > F.col("median") * 3))
     m = F.col("median")
     return high.select(*finding("MERCHANT_AMOUNT_SPIKE", F.col("local_date"), F.col("spend"), m, m * 3 / 2, share(F.col("spend") - m, m), F.col("merchant_label"), None))

@@ -12,6 +12,7 @@ from ..functions.dates import Period
 from ..functions.money import MONEY, share, total
 from ..plans.ledger import Ledger
 from .bills import reconciliation
+from .commitments import bounded
 from .effects import effects
 
 TOP, TOTALS_BOUND, SERIES_BOUND, DAYS_BOUND = 100, 200, 15_000, 366
@@ -89,6 +90,16 @@ def series(led: Ledger, scope: Scope, grain: str = "month") -> DataFrame:
     return rows.groupBy("workspace_id", start.alias("period_start"), "currency", "status").agg(*spend_measures(), *cash_measures())
 
 
+def report_totals(led: Ledger, scope: Scope) -> DataFrame:
+    """Totals of one workspace's report, which may hold TOTALS_BOUND rows."""
+    return bounded(totals(led, scope), TOTALS_BOUND, "totals")
+
+
+def report_series(led: Ledger, scope: Scope, grain: str = "month") -> DataFrame:
+    """A series of one workspace's report, which may hold SERIES_BOUND rows."""
+    return bounded(series(led, scope, grain), SERIES_BOUND, "series")
+
+
 def unconverted_count(led: Ledger, scope: Scope) -> DataFrame:
     return eligible(led, scope).groupBy("workspace_id").agg(F.count_if("is_unconverted").alias("unconverted_count"))
 

@@ -36,6 +36,47 @@ def detail(led: Ledger, now: str) -> DataFrame:
     return rows.withColumns({"warnings": F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in codes])), "description": masked(F.col("description"))})
 
 
+def listed(
+    rows: DataFrame, tags: DataFrame, links: DataFrame, accounts: tuple[int, ...] = (), categories: tuple[int, ...] = (), merchants: tuple[int, ...] = (), roles: tuple[str, ...] = (),
+    statuses: tuple[str, ...] = (), classified: bool | None = None, tag: str | None = None, words: str | None = None, start: date | None = None, end: date | None = None,
+) -> DataFrame:
+    """Details that meet all filters given, with tags (in order), replaces and replaced_by (of links not rejected).
+
+    Tags and links are grouped before they join, so no filter or row is repeated by them.
+    """
+    for column, values in (("account_id", accounts), ("effective_category", categories), ("effective_merchant", merchants), ("effective_role", roles), ("status", statuses)):
+        if values:
+            rows = rows.where(F.col(column).isin(*values))
+    if classified is not None:
+        rows = rows.where(F.col("effective_category").isNotNull() == F.lit(classified))
+    if words:
+        rows = rows.where(F.contains(F.lower("description"), F.lit(words.lower())))
+    if start is not None:
+        rows = rows.where(F.col("local_date") >= F.lit(start))
+    if end is not None:
+        rows = rows.where(F.col("local_date") <= F.lit(end))
+    own = tags.groupBy("workspace_id", F.col("transaction_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    open_ = links.where((F.col("status") != "REJECTED") & F.col("successor_id").isNotNull())
+    before = open_.groupBy("workspace_id", F.col("successor_id").alias("id")).agg(F.max("predecessor_id").alias("replaces"))
+    after = open_.groupBy("workspace_id", F.col("predecessor_id").alias("id")).agg(F.max("successor_id").alias("replaced_by"))
+    for part in (own, before, after):
+        rows = rows.join(part, ["workspace_id", "id"], "left")
+    rows = rows.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return rows if tag is None else rows.where(F.array_contains("tags", tag))
+
+
+def scope_warnings(led: Ledger, now: str, start: date) -> DataFrame:
+    """What a list from `start` on should say of each live account: history that begins later, data that is old or of unknown age, a connection that needs its user."""
+    fresh = freshness(led, now).select("workspace_id", "account_id", "is_stale", "needs_attention")
+    rows = led.account.where(F.col("deleted_at").isNull()).withColumnRenamed("id", "account_id").join(fresh, ["workspace_id", "account_id"], "left")
+    codes = [
+        (F.col("earliest_date").isNull() | (F.col("earliest_date") > F.lit(start)), "INCOMPLETE_HISTORY"),
+        (F.coalesce("is_stale", F.lit(True)), "STALE_DATA"),
+        (F.coalesce("needs_attention", F.lit(False)), "CONNECTION_ATTENTION"),
+    ]
+    return rows.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in codes])))
+
+
 def page(rows: DataFrame, size: int, after: tuple[date, int] | None = None) -> DataFrame:
     """Newest first, one page of each workspace; `after` is the last (date, id) of the page before."""
     if after is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import Period, bank_date, comparison
 from ..functions.money import plain
 from ..operators import bills, commitments, effects, freshness, outlook, quality, spending
-from . import more, oracle
+from . import more, oracle, reviews, writes
 from .ledger import AS_OF, NOW, Ledger, load
 
 SCOPE = spending.Scope(bank_date(oracle.START), bank_date(oracle.END), pending=True)
@@ -69,5 +69,5 @@ def query(build: Build) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plain(build(load(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query(build) for name, build in BUILDS.items()} | more.QUERIES
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | more.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query(build) for name, build in BUILDS.items()} | more.QUERIES | writes.QUERIES | reviews.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | more.ORACLE_SQL | writes.ORACLE_SQL | reviews.ORACLE_SQL

@@ -102,10 +102,10 @@ def tables(dialect: str) -> dict[str, str]:
             union all select a.workspace_id, 200000000000 + a.id * 100 + k.n_nationkey as id, a.id as account_id, 'POSTED' as status, a.currency as provider_currency, a.currency as account_currency,
                 -{money("20 + a.id % 7 + case when k.n_nationkey = 11 and a.id % 15 = 0 then 60 when k.n_nationkey = 12 and a.id % 25 = 0 then 0 else k.n_nationkey % 2 end")} as provider_amount,
                 -{money("20 + a.id % 7 + case when k.n_nationkey = 11 and a.id % 15 = 0 then 60 when k.n_nationkey = 12 and a.id % 25 = 0 then 0 else k.n_nationkey % 2 end")} as account_amount,
-                'OUTFLOW' as direction, 'PURCHASE' as role, false as is_excluded, {days("date '1997-09-10'", "case when k.n_nationkey = 12 then 331 else 30 * k.n_nationkey end")} as local_date,
+                'OUTFLOW' as direction, 'PURCHASE' as role, false as is_excluded, {days("date '1997-09-10'", "case when k.n_nationkey = 12 then 331 when k.n_nationkey = 13 then 332 else 30 * k.n_nationkey end")} as local_date,
                 'Subscription' as description, cast(a.id % 3 as bigint) as category_id, a.id + 1000000 as merchant_id, 'MERCHANT' as category_source, cast(null as bigint) as bill_id, cast(null as bigint) as series_id,
                 'NONE' as duplicate_status, cast(null as timestamp) as deleted_at
-                from account a cross join nation k where a.id % 5 = 0 and (k.n_nationkey < 12 or (k.n_nationkey = 12 and a.id % 25 = 0))""",
+                from account a cross join nation k where a.id % 5 = 0 and (k.n_nationkey < 12 or (k.n_nationkey = 12 and a.id % 25 = 0) or (k.n_nationkey = 13 and a.id % 20 = 0))""",
         "user_state": """
             select workspace_id, id as transaction_id, id % 2 = 0 as category_override, case when id % 34 <> 0 then cast(id % 5 as bigint) end as category_value, id % 3 = 0 as merchant_override,
                 workspace_id * 100 + id % 7 as merchant_value, id % 51 = 0 as role_override, 'FEE' as role_value, case when id % 4 = 1 then true when id % 4 = 2 then false end as excluded_value,

@@ -76,12 +76,16 @@ D8 = """select *, case when count(*) over (partition by workspace_id, refund_id)
 
 
 def d9_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir, "account_id % 40")
-    return plain(matching.replacements(f.where("id % 5 = 0"), f.where("id % 5 = 1")).drop("amount"))
+    """All that the ledger marks as deleted against all that it does not; some know a card that differs."""
+    f = facts(spark, sf_dir, "account_id % 10").join(load(spark, sf_dir).transaction.select("workspace_id", "id", "status", "deleted_at"), ["workspace_id", "id"])
+    f = f.withColumn("card_last_four", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")))
+    gone = (F.col("status") == "DELETED") | F.col("deleted_at").isNotNull()
+    return plain(matching.replacements(f.where(gone).drop("status", "deleted_at"), f.where(~gone).drop("status", "deleted_at")).drop("amount"))
 
 
-D9 = """, pr as (select a.workspace_id, a.account_id, a.currency, a.id as predecessor_id, b.id as successor_id, abs(date_diff('day', a.local_date, b.local_date)) as dd, string_split(a.text, ' ') as ta, string_split(b.text, ' ') as tb
-    from fact a join fact b on a.workspace_id = b.workspace_id and a.account_id = b.account_id and a.currency = b.currency and a.amount = b.amount and abs(date_diff('day', a.local_date, b.local_date)) <= 3 where a.id % 5 = 0 and b.id % 5 = 1),
+D9 = """, mk as (select f.*, t.status = 'DELETED' or t.deleted_at is not null as gone, case when f.id % 3 > 0 then f.id % 3 end as card from fact f join "transaction" t on t.workspace_id = f.workspace_id and t.id = f.id),
+  pr as (select a.workspace_id, a.account_id, a.currency, a.id as predecessor_id, b.id as successor_id, abs(date_diff('day', a.local_date, b.local_date)) as dd, string_split(a.text, ' ') as ta, string_split(b.text, ' ') as tb
+    from mk a join mk b on a.workspace_id = b.workspace_id and a.account_id = b.account_id and a.currency = b.currency and a.amount = b.amount and abs(date_diff('day', a.local_date, b.local_date)) <= 3 where a.gone and not b.gone and coalesce(a.card = b.card, true)),
   sc as (select *, cast(round(least(1.0, cast(0.4 as double) + (case dd when 0 then 0.2 when 1 then 0.175 when 2 then 0.15 else 0.125 end)::double + 0.25::double * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) + 0.05::double + 0.1::double), 4) as decimal(5,4)) as score from pr),
   al as (select *, count(*) over (partition by workspace_id, predecessor_id) = 1 and count(*) over (partition by workspace_id, successor_id) = 1 and score >= 0.95 as sure from sc)
   select workspace_id, account_id, currency, predecessor_id, successor_id, dd as date_distance_days, cast(score as varchar) as score, case when sure then 'AUTO_CONFIRMED' else 'NEEDS_REVIEW' end as status from al"""
@@ -132,26 +136,26 @@ K5 = """select workspace_id, id, concat_ws(',', case when a then 'large' end, ca
 
 def dml1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = load(spark, sf_dir).account.select("workspace_id", "id", "name", "current_balance", "coverage_status")
-    new = a.where("id % 3 = 0").select("workspace_id", "id", F.concat("name", F.lit(" new")).alias("name"), (F.col("current_balance") + 1).cast("decimal(20,6)").alias("current_balance"), F.lit("PARTIAL").alias("coverage_status"))
+    new = a.select("workspace_id", "id", F.concat("name", F.lit(" new")).alias("name"), (F.col("current_balance") + 1).cast("decimal(20,6)").alias("current_balance"), F.lit("PARTIAL").alias("coverage_status"))
     new = new.union(new.withColumn("id", F.col("id") + 10_000_000))
     kept = F.when(F.col("old.coverage_status") == "USER_EXTENDED_HISTORY", F.col("old.coverage_status")).otherwise(F.col("new.coverage_status"))
     return plain(upsert.merge(a, new, ["workspace_id", "id"], {"coverage_status": kept}))
 
 
-DML1 = """, inc as (select workspace_id, id, concat(name, ' new') as name, cast(current_balance + 1 as decimal(20,6)) as b from account where id % 3 = 0)
+DML1 = """, inc as (select workspace_id, id, concat(name, ' new') as name, cast(current_balance + 1 as decimal(20,6)) as b from account)
   select a.workspace_id, a.id, coalesce(i.name, a.name) as name, cast(coalesce(i.b, a.current_balance) as varchar) as current_balance, case when i.id is not null and a.coverage_status <> 'USER_EXTENDED_HISTORY' then 'PARTIAL' else a.coverage_status end as coverage_status from account a left join inc i on i.workspace_id = a.workspace_id and i.id = a.id
   union all select workspace_id, id + 10000000, name, cast(b as varchar), 'PARTIAL' from inc"""
 
 
 def dml2_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir).transaction.select("workspace_id", "id", "status", "category_id", "account_amount")
-    new = t.where("id % 4 = 0").withColumns({"status": F.when(F.col("id") % 8 == 0, "POSTED").otherwise(F.col("status")), "category_id": F.when(F.col("id") % 3 == 0, F.lit(None).cast("bigint")).otherwise(F.col("category_id"))})
+    new = t.withColumns({"status": F.when(F.col("id") % 8 == 0, "POSTED").otherwise(F.col("status")), "category_id": F.when(F.col("id") % 3 == 0, F.lit(None).cast("bigint")).otherwise(F.col("category_id"))})
     found = upsert.revisions(t, new, ["workspace_id", "id"], ["status", "category_id", "account_amount"])
     return plain(found.select("workspace_id", "id", F.array_join(F.transform("changes", lambda c: F.concat_ws(":", c["field"], F.coalesce(c["before"], F.lit("-")), F.coalesce(c["after"], F.lit("-")))), ",").alias("changes")))
 
 
 DML2 = """select workspace_id, id, concat_ws(',', case when s then concat('status:', status, ':POSTED') end, case when c then concat('category_id:', cast(category_id as varchar), ':-') end) as changes
-  from (select *, id % 8 = 0 and status <> 'POSTED' as s, id % 3 = 0 and category_id is not null as c from "transaction" where id % 4 = 0) where s or c"""
+  from (select *, id % 8 = 0 and status <> 'POSTED' as s, id % 3 = 0 and category_id is not null as c from "transaction") where s or c"""
 
 
 def dml2_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +178,7 @@ SRC10 = "select cast(o_orderkey as varchar) as provider_transaction_id, cast(o_c
 SRC10 = SRC10.replace("cast(cast(o_orderdate as date) - 1 as varchar)", "cast(cast(cast(o_orderdate as date) - 1 as date) as varchar)")
 
 
-def st1_latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def st1_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return plain(inbox.latest_state(e, ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id"))
 
@@ -218,7 +222,7 @@ def b2_coverage_for_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v7_replacement_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = load(spark, sf_dir)
-    links = led.transaction.where("id % 500 = 0").select("workspace_id", F.col("id").alias("predecessor_id"), (F.col("id") + 1).alias("successor_id"), F.when(F.col("id") % 1000 == 0, "NEEDS_REVIEW").otherwise("REJECTED").alias("status"))
+    links = led.transaction.select("workspace_id", F.col("id").alias("predecessor_id"), (F.col("id") + 1).alias("successor_id"), F.when(F.col("id") % 10 == 0, "NEEDS_REVIEW").otherwise("REJECTED").alias("status"))
     return plain(effects.replacement_review(led, links).select("workspace_id", "predecessor_id", "successor_id", "predecessor_date", "successor_date"))
 
 
@@ -237,12 +241,12 @@ def k14_category_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k15_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = load(spark, sf_dir)
     mode = F.when(F.col("id") % 3 == 0, "SET").when(F.col("id") % 3 == 1, "CLEAR").otherwise("INHERIT")
-    patches = led.transaction.where("id % 51 = 0 and id < 100000000000").select("workspace_id", F.col("id").alias("transaction_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 9 + 1).otherwise(F.lit(0)).alias("expected_version"), mode.alias("category_mode"), F.lit(6).cast("bigint").alias("category_value"))
+    patches = led.transaction.select("workspace_id", F.col("id").alias("transaction_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 9 + 1).otherwise(F.lit(0)).alias("expected_version"), mode.alias("category_mode"), F.lit(6).cast("bigint").alias("category_value"))
     fixed, _ = classification.correct(led.user_state, patches)
     return plain(fixed.select("workspace_id", "transaction_id", "category_override", "category_value", "version"))
 
 
-QUERIES = {f.__name__: f for f in (d3_classify, d7_transfers, d8_refunds, d9_replacements, k5_rules, k9_descriptions, k10_similarity, dml1_merge, dml2_revisions, dml2_collisions, src10_transactions, st1_latest_events, st6_reclaim, t1_transactions, b1_accounts, b1_bills, b2_coverage_for_range, v7_replacement_review, k13_merged_merchants, k14_category_ancestors, k15_corrections)}
+QUERIES = {f.__name__: f for f in (d3_classify, d7_transfers, d8_refunds, d9_replacements, k5_rules, k9_descriptions, k10_similarity, dml1_merge, dml2_revisions, dml2_collisions, src10_transactions, st1_latest_state, st6_reclaim, t1_transactions, b1_accounts, b1_bills, b2_coverage_for_range, v7_replacement_review, k13_merged_merchants, k14_category_ancestors, k15_corrections)}
 
 
 def tail(head: str, more: str) -> str:
@@ -254,7 +258,7 @@ ORACLE_SQL = {
     "d3_classify": tail(oracle.cte(), D3),
     "d7_transfers": tail(fact_cte(), D7),
     "d8_refunds": tail(fact_cte("account_id % 60"), D8),
-    "d9_replacements": tail(fact_cte("account_id % 40"), D9),
+    "d9_replacements": tail(fact_cte("account_id % 10"), D9),
     "k5_rules": tail(oracle.cte(), K5),
     "k9_descriptions": tail(oracle.cte(), K9),
     "k10_similarity": tail(oracle.cte(), K10),
@@ -262,7 +266,7 @@ ORACLE_SQL = {
     "dml2_revisions": tail(oracle.cte(), DML2),
     "dml2_collisions": tail(oracle.cte(), DML2B),
     "src10_transactions": SRC10,
-    "st1_latest_events": ST1,
+    "st1_latest_state": ST1,
     "st6_reclaim": ST6,
     "t1_transactions": tail(oracle.cte() + oracle.EFFECTIVE + oracle.FRESH, T1),
     "b1_accounts": tail(oracle.cte(), "select workspace_id, id as account_id, account_type, currency, name, cast(current_balance as varchar) as current_balance, is_active from account where deleted_at is null"),
@@ -270,6 +274,6 @@ ORACLE_SQL = {
     "b2_coverage_for_range": tail(oracle.cte(), f"select workspace_id, id as account_id, case when earliest_date is null then 'HISTORY_UNKNOWN' when earliest_date > date '{oracle.START}' then 'STARTS_LATE' when latest_date is null or latest_date < date '{oracle.END}' then 'ENDS_EARLY' end as warning from account where deleted_at is null"),
     "k13_merged_merchants": tail(oracle.cte(), 'select t.workspace_id, t.id, case when m.id is not null and m.id % 5 = 0 then m.id + 1 else t.merchant_id end as merchant_id from "transaction" t left join merchant m on m.workspace_id = t.workspace_id and m.id = t.merchant_id'),
     "k14_category_ancestors": "with recursive c as (select cast(n_nationkey as bigint) as id, case when n_nationkey > 0 then cast(n_nationkey // 2 as bigint) end as parent_id from nation where n_nationkey < 9), up as (select id, parent_id as ancestor, cast(1 as bigint) as depth from c where parent_id is not null union all select up.id, c.parent_id, up.depth + 1 from up join c on c.id = up.ancestor where c.parent_id is not null) select id, ancestor, depth from up",
-    "k15_corrections": tail(oracle.cte(), "select workspace_id, transaction_id, case when f then transaction_id % 3 < 2 else category_override end as category_override, case when f then case when transaction_id % 3 = 0 then 6 end else category_value end as category_value, case when f then version + 1 else version end as version from (select *, transaction_id % 51 = 0 and transaction_id % 2 = 0 as f from user_state)"),
-    "v7_replacement_review": tail(oracle.cte(), "select p.workspace_id, p.id as predecessor_id, s.id as successor_id, cast(p.local_date as varchar) as predecessor_date, cast(s.local_date as varchar) as successor_date from \"transaction\" p join \"transaction\" s on s.workspace_id = p.workspace_id and s.id = p.id + 1 where p.id % 1000 = 0"),
+    "k15_corrections": tail(oracle.cte(), "select t.workspace_id, t.id as transaction_id, case when f then t.id % 3 < 2 else category_override end as category_override, case when f then case when t.id % 3 = 0 then 6 end else category_value end as category_value, case when f then coalesce(version, 0) + 1 else version end as version from (select t.*, u.category_override, u.category_value, u.version, coalesce(u.version, 0) = case when t.id % 2 = 0 then t.id % 9 + 1 else 0 end as f from \"transaction\" t left join user_state u on u.workspace_id = t.workspace_id and u.transaction_id = t.id) t where version is not null or f"),
+    "v7_replacement_review": tail(oracle.cte(), ", d as materialized (select workspace_id, id, local_date from \"transaction\") select workspace_id, id as predecessor_id, next_id as successor_id, cast(local_date as varchar) as predecessor_date, cast(next_date as varchar) as successor_date from (select *, lead(id) over ids as next_id, lead(local_date) over ids as next_date from d window ids as (partition by workspace_id order by id)) where next_id = id + 1 and id % 10 = 0"),
 }

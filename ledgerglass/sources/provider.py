@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from email.utils import parsedate_to_datetime
+from urllib.parse import parse_qs, quote, urlencode, urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +84,116 @@ def connections(raw: DataFrame, event: Column | None = None) -> DataFrame:
     return raw.select(F.col("id").alias("connection_id"), F.col("connector.name").alias("institution_name"), sync_status(F.lit(None).cast("string") if event is None else event, F.col("status"), F.col("executionStatus"), F.col("error.code")).alias("local_status"), F.col("lastUpdatedAt").try_cast("timestamp").alias("last_successful_sync_at"))
 
 
-def webhooks(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Known events with an id; what does not parse or is of another kind has is_valid false."""
-    body = F.from_json(payload, "event string, eventId string, itemId string, accountId string, transactionIds array<string>, error struct<code:string>")
-    out = raw.withColumn("hook", body)
-    return out.withColumn("is_valid", F.coalesce(F.col("hook.event").isin(*EVENTS) & F.col("hook.eventId").isNotNull(), F.lit(False)))
+#: Most ids of an event (fixed values), and of a request.
+MOST_IDS = {"transactions/updated": 400, "transactions/deleted": 1000}
+REQUEST_IDS, MOST_COUNT = 500, 1000
+CURSOR_KEYS = ("accountId", "after", "createdAtFrom", "dateFrom", "dateTo", "ids")
+HOOK = "event string, eventId string, itemId string, accountId string, transactionIds array<string>, transactionsCount string, createdTransactionsLink string, createdTransactionsLinkV2 string, transactionsCreatedAtFrom string, error struct<code:string>"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def webhooks(raw: DataFrame, payload: str = "payload", identifier: str = UUID) -> DataFrame:
+    """Rows with their parsed event (hook) and is_valid: a known event with all that its kind needs, ids within their bounds."""
+
+    def is_id(c: Column) -> Column:
+        return F.coalesce(c.rlike(identifier), F.lit(False))
+
+    out = raw.withColumn("hook", F.from_json(payload, HOOK, {"primitivesAsString": "true"}))
+    h = F.col("hook")
+    count = h["transactionsCount"].try_cast("int")
+    ids = F.coalesce(h["transactionIds"], F.array().cast("array<string>"))
+    of_data = is_id(h["accountId"]) & F.coalesce(count.between(0, MOST_COUNT), F.lit(False))
+    created = of_data & (h["createdTransactionsLink"].isNotNull() | h["createdTransactionsLinkV2"].isNotNull()) & h["transactionsCreatedAtFrom"].try_cast("timestamp").isNotNull()
+    named = F.lit(False)
+    for event, most in MOST_IDS.items():
+        named = named | ((h["event"] == event) & F.size(ids).between(1, most))
+    named = named & of_data & F.coalesce(F.size(ids) == count, F.lit(False)) & F.forall(ids, is_id)
+    kind = F.when(h["event"] == "transactions/created", created).when(F.startswith(h["event"], F.lit("transactions/")), named)
+    kind = kind.when(h["event"] == "item/error", F.length(h["error"]["code"]).between(1, 200)).otherwise(F.lit(True))
+    common = h["event"].isin(*EVENTS) & is_id(h["eventId"]) & is_id(h["itemId"])
+    return out.withColumn("is_valid", F.coalesce(common & kind, F.lit(False)))
+
+
+class Landed:
+    """A provider's landed files as one source: a folder of JSON lines for each kind, pages as they were answered."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def connections(self) -> DataFrame:
+        return connections(read(self.spark, f"{self.folder}/items", ITEM))
+
+    def connection(self, external_id: str) -> DataFrame:
+        return self.connections().where(F.col("connection_id") == external_id)
+
+    def accounts(self, connection: str | None = None) -> DataFrame:
+        rows = accounts(read(self.spark, f"{self.folder}/accounts", ACCOUNT))
+        return rows if connection is None else rows.where(F.col("connection_id") == connection)
+
+    def transactions(self, account: str | None = None, zone: str = "America/Sao_Paulo") -> DataFrame:
+        rows = transactions(pages(self.spark, f"{self.folder}/transactions", TRANSACTION), zone)
+        return rows if account is None else rows.where(F.col("account_id") == account)
+
+    def bills(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        raw = read(self.spark, f"{self.folder}/bills", BILL)
+        return bills(raw), bill_payments(raw), bill_charges(raw)
+
+
+def page_query(account: str, cursor: str | None = None) -> dict[str, str]:
+    """The parameters of a page's request; a cursor must be a query of the same account with known parameters only."""
+    if cursor is None:
+        return {"accountId": account}
+    found = parse_qs(cursor.removeprefix("?"), keep_blank_values=True)
+    if not cursor.startswith("?") or found.get("accountId") != [account]:
+        raise ValueError("the cursor belongs to another account")
+    if set(found) - set(CURSOR_KEYS):
+        raise ValueError("the cursor holds an unknown filter")
+    return {k: v[-1] for k, v in found.items()}
+
+
+def ids_cursor(account: str, ids: list[str]) -> str:
+    """The cursor of an event that names 1 to 500 different transactions."""
+    if not 1 <= len(ids) <= REQUEST_IDS or len(set(ids)) < len(ids):
+        raise ValueError("an event names 1 to 500 different transactions")
+    return "?" + urlencode({"accountId": account, "ids": ",".join(ids)})
+
+
+def created_cursor(account: str, since: str, link: str, origin: str, is_v2: bool) -> str:
+    """The cursor of an event that links to created transactions; the link must be the provider's and say the same as the event."""
+    at = urlsplit(link)
+    if f"{at.scheme}://{at.netloc}" != origin or at.path not in (("/v2/transactions",) if is_v2 else ("/v2/transactions", "/transactions")):
+        raise ValueError("the link leads elsewhere")
+    told = parse_qs(at.query)
+    if told.get("accountId", [""])[0] != account or told.get("createdAtFrom", [""])[0] != since:
+        raise ValueError("the link is not about the event's account and time")
+    query = {"accountId": account, "createdAtFrom": since}
+    after = told.get("after", [None])[0]
+    if at.path == "/v2/transactions" and after is not None and "{" not in after:
+        query["after"] = after
+    return "?" + urlencode(query)
+
+
+#: What may be asked again (fixed values), how often, and waits in milliseconds.
+SAFE_METHODS, RETRIED_STATUS, MOST_RETRIES, LEAST_WAIT, MOST_WAIT, TIME_OUT = ("GET", "HEAD", "OPTIONS"), (429, 500, 502, 503, 504), 3, 250, 30_000, 15_000
+
+
+def retry_wait(method: str, status: int, retries: int, retry_after: str | None = None, now: float = 0.0, dice: float = 1.0) -> int | None:
+    """Milliseconds until a request is tried again, or None if it is not. Only safe methods are; the server's word counts before doubled waits."""
+    if method not in SAFE_METHODS or status not in RETRIED_STATUS or retries >= MOST_RETRIES:
+        return None
+    if retry_after is not None:
+        try:
+            wait = float(retry_after)
+        except ValueError:
+            try:
+                wait = max(0.0, parsedate_to_datetime(retry_after).timestamp() - now)
+            except ValueError:
+                wait = -1.0
+        if 0 <= wait < float("inf"):
+            return min(MOST_WAIT, round(wait * 1000))
+    return round(dice * min(MOST_WAIT, LEAST_WAIT * 2**retries))
+
+
+def refresh_request(external_id: str) -> dict[str, object]:
+    """What asks a provider to refresh a connection; it is no safe method, so it is never sent twice."""
+    return {"method": "PATCH", "path": f"/items/{quote(external_id, safe='')}", "body": {}, "retries": 0}

@@ -68,6 +68,64 @@ def retry_dead(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return joined.withColumns({"status": F.when(dead, "PENDING").otherwise(F.col("status")), "attempts": F.when(dead, 0).otherwise(F.col("attempts")), "available_at": F.when(dead, now).otherwise(F.col("available_at"))}).drop("__hit")
 
 
+#: Events after which a connection is synchronising again, and those that only tell its state (fixed values).
+BEGINS = ("item/created", "item/updated", "item/login_succeeded")
+ENDED = ("PROCESSED", "IGNORED", "UNMAPPED")
+
+
+def routes(events: DataFrame, connections: DataFrame) -> DataFrame:
+    """What is to be done for each open event: columns of events, connection_id, connection_status, route, is_full_import.
+
+    events: workspace_id, event_id, external_id, event, status, snapshot_status (what the provider says now; null: gone).
+    Nothing is done for events that ended, unknown connections, or what was disabled or deleted here, but a deletion is marked.
+    """
+    of = connections.select("workspace_id", "external_id", F.col("id").alias("connection_id"), F.col("local_status").alias("connection_status"))
+    rows = events.join(of, ["workspace_id", "external_id"], "left")
+    lost = F.col("connection_status").isin("DISABLED", "DELETED")
+    item = F.when(F.col("event") == "item/deleted", "MARK_DELETED").when(lost, "NONE").when(F.col("snapshot_status").isNull(), "MARK_DELETED")
+    item = item.when(F.col("event").isin(*BEGINS), "SYNC").otherwise("APPLY_STATUS")
+    kind = {"transactions/created": "IMPORT_CREATED", "transactions/updated": "IMPORT_IDS", "transactions/deleted": "DELETE_IDS"}
+    data = F.when(lost, "NONE")
+    for event, route in kind.items():
+        data = data.when(F.col("event") == event, route)
+    known = F.when(F.startswith("event", F.lit("transactions/")), data).otherwise(item)
+    route = F.when(F.col("status").isin(*ENDED), "NONE").when(F.col("connection_id").isNull(), "UNMAPPED").otherwise(known)
+    full = route.isin("SYNC", "APPLY_STATUS") & (F.col("snapshot_status") == "ACTIVE")
+    return rows.withColumns({"route": route, "is_full_import": F.coalesce(full, F.lit(False))})
+
+
+def route_batch(batch: DataFrame, connections: DataFrame, handlers: dict[str, Callable[[DataFrame], None]]) -> None:
+    """For foreachBatch: the rows of each route go to its handler; handlers must bear a batch that comes again."""
+    found = routes(batch, connections)
+    for route, handle in handlers.items():
+        handle(found.where(F.col("route") == route))
+
+
+def reconcile(connections: DataFrame, snapshots: DataFrame, at: Column) -> DataFrame:
+    """Outcome of a scheduled reconciliation for every connection: columns of connections after it, outcome, asks_refresh.
+
+    snapshots: workspace_id, external_id, first_status (before the refresh; null: gone), settled_status (after the polls). A
+    connection that needs its user is told so and not refreshed; whole imports are made where the settled state is active.
+    """
+    rows = connections.join(snapshots, ["workspace_id", "external_id"], "left")
+    off = F.col("local_status").isin("DISABLED", "DELETED")
+    needs = ("REAUTH_REQUIRED", "USER_ACTION_REQUIRED", "USER_INPUT_REQUIRED")
+    asks = ~off & F.coalesce(F.col("first_status").isin("ACTIVE", "PROVIDER_ERROR"), F.lit(False))
+    ended = F.when(F.col("first_status").isin("DELETED", *needs), F.col("first_status")).otherwise(F.col("settled_status"))
+    ended = F.when(F.col("first_status").isNull(), F.lit(None)).otherwise(ended)
+    outcome = F.when(off, "SKIPPED").when(ended.isNull() | (ended == "DELETED"), "DELETED").when(ended.isin(*needs), "ACTION_REQUIRED")
+    outcome = outcome.when(ended == "ACTIVE", "RECONCILED").otherwise("UNSETTLED")
+    rows = rows.withColumns({"outcome": outcome, "asks_refresh": asks, "ended": ended})
+    alive = F.col("outcome") != "SKIPPED"
+    done = {
+        "local_status": F.when(alive, F.coalesce("ended", F.lit("DELETED"))).otherwise(F.col("local_status")),
+        "last_attempt_at": F.when(alive, at).otherwise(F.col("last_attempt_at")),
+        "last_successful_sync_at": F.when(F.col("outcome") == "RECONCILED", at).otherwise(F.col("last_successful_sync_at")),
+        "deleted_at": F.when(F.col("outcome") == "DELETED", F.coalesce("deleted_at", at)).otherwise(F.col("deleted_at")),
+    }
+    return rows.withColumns({k: v for k, v in done.items() if k in connections.columns}).select(*connections.columns, "outcome", "asks_refresh")
+
+
 def run(spark: SparkSession, source: DataFrame, sink: str, keys: list[str], checkpoint: str, handle: Callable[[DataFrame], DataFrame] = lambda df: df):
     """A query that appends each event once to a Parquet inbox; batches that come again after a failure add nothing."""
 
