@@ -136,7 +136,7 @@ def test_corrections_and_hand_over(spark):
     assert sorted(tuple(r)[1:] for r in fixed.collect()) == [(10, False, None, 3), (11, False, None, 1), (12, True, 5, 1)]
     assert [r["transaction_id"] for r in late.collect()] == [11]
     links = spark.createDataFrame([(1, 10, 20), (1, 10, 11)], "workspace_id long, predecessor_id long, successor_id long")
-    moved, conflict = classification.hand_over(state, links)
+    moved, conflict, _ = classification.hand_over(state, links)
     assert sorted(r["transaction_id"] for r in moved.collect()) == [10, 11, 20] and conflict.count() == 1
     cats = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, parent_id long")
     assert classification.would_cycle(cats, 1, 3) and not classification.would_cycle(cats, 3, 1)
