@@ -2,7 +2,7 @@
 
 Pieces (matches of the split pattern) of like length form the rows of one numpy matrix of token ids.
 Each round, every row merges its leftmost pair of least rank; ranks come from an open-addressing hash table
-of pairs; rows without a mergeable pair leave the matrix. Pieces beyond LONGEST bytes, for which rounds would
+of pairs; rows without a mergeable pair leave the matrix. Pieces beyond LONGEST bytes, for which rounds
 cost the square of the length, take a heap of pairs that makes the same merges in the same order.
 
 Null text: empty, no ids. Any text round-trips, as every byte has an id.
@@ -14,14 +14,14 @@ import base64
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_batches, small_batches, texts_of
+from .common import Memo, held, map_batches, slices, small_batches, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of the longest piece that goes into a matrix, and cells of the largest matrix.
@@ -77,6 +77,7 @@ class ByteBpe:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.spelling = pa.array(self.tokens, pa.large_binary())
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.table = PairTable(self.pairs)
@@ -171,39 +172,50 @@ class ByteBpe:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        out = []
-        for at in range(0, len(texts), 32):  # few at once: long texts hold many chunks
-            cut = [self.cut(t) for t in texts[at : at + 32]]
-            out += map(b"".join, self.chunks.fetch(cut))
+        return [ids for some in slices(texts) for ids in self.encode_slice(some)]
+
+    def encode_slice(self, texts: list[str]) -> list[bytes]:
+        """Each distinct chunk is looked up once; the ids of a text are the bytes of its chunks end to end."""
+        out: list[bytes] = [b""] * len(texts)
+        odd = [k for k, t in enumerate(texts) if t.endswith(" ") or BEFORE_SPACE.search(t)]
+        for k, chunks in zip(odd, self.chunks.fetch([self.cut(texts[k]) for k in odd]), strict=True):
+            out[k] = b"".join(chunks)
+        rest = sorted(set(range(len(texts))).difference(odd))
+        if not rest:
+            return out
+        cut = pc.split_pattern(pa.array([texts[k] for k in rest], pa.large_string()), " ")
+        edges, known = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        words, at = known.dictionary.to_pylist(), known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, own = np.unique(at[edges[:-1]], return_inverse=True)  # a text's first chunk has no space before it
+        at[edges[:-1]] = len(words) + own
+        ids = self.chunks.of([" " + w for w in words]) + self.chunks.of([words[k] for k in begin.tolist()])
+        for k, found in zip(rest, joined(pa.array(ids, pa.large_binary()), at, edges), strict=True):
+            out[k] = found
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return joined(self.spelling, np.frombuffer(ids, "<u4"), np.array([0, len(ids) // 4]))[0]
+
+
+def joined(values: pa.Array, at: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """values[at], joined between the edges; values are large binaries."""
+    taken = values.take(pa.array(at))
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1][edges].tolist() if len(at) else [0] * len(edges)
+    raw = memoryview(taken.buffers()[2] or b"")
+    return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     """One for each Python worker."""
+    return held(("bpe", path, pattern), lambda: read(path, pattern))
+
+
+def read(path: str, pattern: str) -> ByteBpe:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     return ByteBpe(ranks, pattern)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary of little-endian unsigned 32-bit ids) of every whole text, a narrow operator without a shuffle."""
-
-    def make():
-        bpe = load(vocabulary, pattern)
-
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_texts(texts_of(batch)), pa.binary())], ["doc_id", "ids"])
-
-        return apply
-
-    small_batches(docs.sparkSession)
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, ids binary")
-
-
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Encode, decode the ids, and return the digests of both (columns of SCHEMA)."""
 
