@@ -1,8 +1,9 @@
 """Token-id output compressed by Re-Pair, in shards that allow random access.
 
-A shard holds whole documents, SHARD_TOKENS ids or more. Rounds replace the most frequent pairs of
-neighbouring symbols by new nonterminals until none occurs LEAST times or the 16-bit symbols are used up.
-A shard's file form is one blob: header, rules (left and right symbol), expansion length of every rule, the
+A shard holds whole documents, SHARD_TOKENS ids or more. Re-Pair by rounds: each replaces all pairs of neighbouring
+symbols that occur as often as a bound, the more frequent pair (then the lesser) winning where two overlap; the bound
+halves from round to round, from half the most frequent pair down to two, and rounds of two go on until no pair occurs
+twice or the 16-bit symbols are used up. Every rule replaces two occurrences or more. A shard's file form is one blob: header, rules (left and right symbol), expansion length of every rule, the
 sequence, and the expanded length before every STEP-th symbol, so any id range decodes without the rest.
 Blobs are rows of a Parquet table in the shared folder, in ascending doc_id order by (part, shard).
 
@@ -16,21 +17,21 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, shared_folder, small_batches, texts_of
+from .common import Memo, held, shared_folder, slices, small_batches, texts_of, tidy
 
 MAGIC, HEADER = b"RPG1", "<4sIIII"
 SHARD_TOKENS, STEP, SYMBOLS = 1 << 20, 1024, 1 << 16
-#: A pair is replaced if it occurs so often in its shard; pairs replaced in one round, and rounds, at most.
-LEAST, WAVE, ROUNDS = 24, 8192, 6
+#: Slots (a power of two) of the hashed counts that tell which pairs can reach a bound at all.
+SLOT_BITS = 18
 SHARD_SCHEMA = "part int, shard int, part_start bigint, tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, data binary"
 READ_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard_bytes bigint"
 
@@ -40,7 +41,9 @@ class Encoder:
 
     Normaliser and pre-tokenizer of the vocabulary never join characters across white space, so a text's ids are those
     of its chunks between spaces; each distinct chunk goes through the library once while the memo holds it. Of a chunk
-    of Latin letters with ASCII punctuation behind them, both parts are words of their own, and case does not count.
+    of Latin letters with ASCII punctuation behind them, both parts are words of their own, and case does not count; what
+    has letters alone needs no normaliser and no pattern, only the library's model. Texts that may hold a special token
+    go through the library whole.
     """
 
     PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -49,24 +52,41 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         if self.library.get_vocab_size() > SYMBOLS:
             raise ValueError("terminals must fit 16 bits")
+        self.plain_words = Tokenizer(self.library.model)
+        self.plain_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.end, self.terminals = struct.pack("<H", end_id), self.library.get_vocab_size()
         (self.mark,) = self.library.encode(self.MARK, add_special_tokens=False).ids
-        self.words = Memo(self.encode)
+        self.special = tuple({x.content[:2] for x in self.library.get_added_tokens_decoder().values()})
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(SYMBOLS, bool)  # ids that end a word
+        self.ends[[k for word, k in self.library.get_vocab().items() if word.endswith(suffix)]] = True
+        self.words = Memo(self.encode_words)
+        self.others = Memo(self.encode_others)
         self.chunks = Memo(self.encode_chunks)
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Many words in one call, as a call costs more than a word."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters, or none; many in one call, as a call costs more than a word."""
+        if "" in words:
+            k = words.index("")
+            return [*self.encode_words(words[:k]), b"", *self.encode_words(words[k + 1 :])]
+        out = []
+        for at in range(0, len(words), 1000):
+            ids = np.array(self.plain_words.encode_batch_fast([" ".join(words[at : at + 1000])], add_special_tokens=False)[0].ids, "<u2")
+            ends, raw = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def encode_others(self, words: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             if any(self.MARK in w for w in some):
-                out += [np.array(self.library.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in some]
+                out += [self.whole(w) for w in some]
                 continue
             ids = np.array(self.library.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             marks = np.flatnonzero(ids == self.mark).tolist()
@@ -74,15 +94,14 @@ class Encoder:
             out += [raw[2 * a + 2 : 2 * b] for a, b in zip([-1, *marks], [*marks, len(ids)], strict=True)]
         return out
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        parts = []
-        for chunk in chunks:
-            head = chunk.rstrip(self.PUNCTUATION)
-            if head and head[-1].isalpha() and (head.isascii() or max(head) < "\u0130"):
-                parts.append((head.lower(), chunk[len(head) :]))
-            else:
-                parts.append((chunk, ""))
-        return [head + tail for head, tail in self.words.fetch(parts)]
+        heads = [chunk.rstrip(self.PUNCTUATION) for chunk in chunks]
+        heads = [h if h.isalpha() and (h.isascii() or max(h) < "\u0130") else "" for h in heads]
+        tails = [chunk[len(head) :] for head, chunk in zip(heads, chunks, strict=True)]
+        return list(map(bytes.__add__, self.words.each([h.lower() for h in heads]), self.others.each(tails)))
 
     @staticmethod
     def plain(text: str) -> str:
@@ -93,17 +112,26 @@ class Encoder:
             return text
         return text.lower()
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 32):
-            cut = [self.plain(t).replace("\n", " ").split(" ") for t in texts[at : at + 32]]
-            out += [b"".join(ids) + self.end for ids in self.chunks.fetch(cut)]
-        return out
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts end to end, and how many each has."""
+        ids, sizes = [], []
+        for some in slices(texts):
+            odd = {k: self.whole(t) for k, t in enumerate(some) if any(x in t for x in self.special)}
+            cut = pc.split_pattern(pa.array(["" if k in odd else self.plain(t).replace("\n", " ") for k, t in enumerate(some)], pa.large_string()), " ")
+            edges, known = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+            values = self.chunks.of(known.dictionary.to_pylist())
+            taken = pa.array(values, pa.large_binary()).take(known.indices)
+            at = np.frombuffer(taken.buffers()[1], np.int64)[edges].tolist()
+            raw = memoryview(taken.buffers()[2] or b"")
+            for k in range(len(some)):
+                own = odd.get(k, raw[at[k] : at[k + 1]])
+                ids += [own, self.end]
+                sizes.append(len(own) // 2 + 1)
+        return np.frombuffer(b"".join(ids), "<u2"), sizes
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> Encoder:
-    return Encoder(path, end_id)
+    return held(("repair", path, end_id), lambda: Encoder(path, end_id))
 
 
 def places(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -120,48 +148,79 @@ def places(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def pairs_of(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs as 32-bit keys, and their hashed slots."""
+    keys = sequence[:-1].astype(np.uint32) << np.uint32(16) | sequence[1:]
+    return keys, (keys * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+
+
+def winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of occurrences (place, rank of the pair, 0 first), those to replace: where two overlap, the better rank; of a run of one pair, every second."""
+    left = np.ones(len(at), bool)
+    won = np.zeros(len(at), bool)
+    place = np.arange(len(at))
+    while len(some := np.flatnonzero(left)):
+        p, r = at[some], rank[some]
+        joint = np.diff(p) == 1
+        worse = np.zeros(len(some), bool)
+        worse[1:] |= joint & (r[:-1] < r[1:])
+        worse[:-1] |= joint & (r[1:] < r[:-1])
+        first = np.concatenate(([True], ~(joint & (r[1:] == r[:-1]))))  # of a run of one pair
+        line = place[: len(some)]
+        odd = (line - np.maximum.accumulate(np.where(first, line, 0))) % 2 == 1
+        run = np.cumsum(first) - 1
+        beaten = np.zeros(run[-1] + 1, bool)
+        beaten[run[worse]] = True  # a run whose end is beaten waits for the next turn
+        take = ~beaten[run] & ~odd
+        won[some[take]] = True
+        gone = take | (~beaten[run] & odd)
+        gone[1:] |= joint & take[:-1]
+        gone[:-1] |= joint & take[1:]
+        left[some[gone]] = False
+    return won
+
+
 def compress(ids: np.ndarray, terminals: int) -> bytes:
     """Re-Pair of one shard's ids (uint16)."""
-    rules, lengths, sequence, total = [], [np.ones(terminals, np.uint32)], ids, terminals
-    for _ in range(ROUNDS):
-        if len(sequence) < 2 or total >= SYMBOLS:
-            break
-        keys = sequence[:-1].astype(np.uint32) << np.uint32(16) | sequence[1:]
-        ordered = np.sort(keys)
-        begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(begin, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST)
-        if not len(often):
-            break
-        room = min(WAVE, SYMBOLS - total)
-        if len(often) > room:
-            often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        chosen = np.sort(ordered[begin[often]])
-        lefts, rights = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        lefts[chosen >> np.uint32(16)], rights[chosen & np.uint32(0xFFFF)] = True, True
-        at = np.flatnonzero(lefts[sequence[:-1]] & rights[sequence[1:]])
-        rank = places(chosen, keys[at])
-        hit = rank >= 0
-        at, rank = at[hit], rank[hit]
-        # Of pairs that overlap in a run, every second one from the run's first.
-        first = np.concatenate(([True], np.diff(at) != 1))
-        place = np.arange(len(at))
-        even = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
-        at, rank = at[even], rank[even]
-        known = np.concatenate(lengths)
-        left, right = (chosen >> np.uint32(16)).astype(np.uint16), (chosen & np.uint32(0xFFFF)).astype(np.uint16)
+    rules, lengths, sequence, total = [], np.ones(SYMBOLS, np.uint32), ids, terminals
+    keys, slots = pairs_of(sequence)
+    counts = np.bincount(slots, minlength=1 << SLOT_BITS)
+    bound = max(2, int(counts.max(initial=0)) // 2)
+    while len(keys) and total < SYMBOLS:
+        some = np.flatnonzero((counts >= bound)[slots])
+        ordered = np.sort(keys[some])
+        begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+        often = np.diff(np.append(begin, len(ordered)))
+        enough = np.flatnonzero(often >= bound)
+        enough = enough[np.argsort(-often[enough], kind="stable")[: SYMBOLS - total]]
+        chosen = ordered[begin[enough]]
+        rank = places(chosen, keys[some])
+        at, rank = some[rank >= 0], rank[rank >= 0]
+        won = winners(at, rank)
+        times = np.bincount(rank[won], minlength=len(chosen))
+        used = times >= 2
+        if not used.any():
+            if bound == 2:
+                break
+            bound = max(2, bound // 2)
+            continue
+        won &= used[rank]
+        at, symbol = at[won], (total - 1 + np.cumsum(used))[rank[won]].astype(np.uint16)
+        left, right = (chosen[used] >> np.uint32(16)).astype(np.uint16), (chosen[used] & np.uint32(0xFFFF)).astype(np.uint16)
         rules.append(np.stack([left, right], 1))
-        lengths.append(known[left] + known[right])
+        lengths[total : total + len(left)] = lengths[left] + lengths[right]
+        total += len(left)
         sequence = sequence.copy()
-        sequence[at] = (total + rank).astype(np.uint16)
+        sequence[at] = symbol
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
-        sequence, total = sequence[keep], total + len(chosen)
+        sequence = sequence[keep]
+        keys, slots = pairs_of(sequence)
+        counts, bound = np.bincount(slots, minlength=1 << SLOT_BITS), max(2, bound // 2)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
-    known = np.concatenate(lengths)
-    before = np.concatenate(([0], np.cumsum(known[sequence], dtype=np.uint64)[:-1])).astype("<u8")[::STEP] if len(sequence) else np.zeros(0, "<u8")
+    before = np.concatenate(([0], np.cumsum(lengths[sequence], dtype=np.uint64)[:-1])).astype("<u8")[::STEP] if len(sequence) else np.zeros(0, "<u8")
     head = struct.pack(HEADER, MAGIC, terminals, len(table), len(sequence), len(before))
-    return head + table.astype("<u2").tobytes() + known[terminals:].astype("<u4").tobytes() + sequence.astype("<u2").tobytes() + before.tobytes()
+    return head + table.astype("<u2").tobytes() + lengths[terminals:total].astype("<u4").tobytes() + sequence.astype("<u2").tobytes() + before.tobytes()
 
 
 class Shard:
@@ -227,26 +286,27 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         words, part = encoder(vocabulary, end_id), TaskContext.get().partitionId()
         doc_ids: list = []
         sizes: list[int] = []
-        held: list[bytes] = []
+        held_: list[np.ndarray] = []
         shard, start, total = 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
-            row = [[part], [shard], [start], [total], [doc_ids], [sizes], [compress(ids, words.terminals)]]
+            row = [[part], [shard], [start], [total], [doc_ids], [sizes], [compress(np.concatenate(held_), words.terminals)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["part", "shard", "part_start", "tokens", "doc_ids", "doc_tokens", "data"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.texts(texts_of(batch)), strict=True):
+            ids, counts = words.texts(texts_of(batch))
+            begin = 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts, strict=True):
                 doc_ids.append(doc_id)
-                sizes.append(len(ids) // 2)
-                held.append(ids)
-                total += len(ids) // 2
+                sizes.append(n)
+                held_.append(ids[begin : begin + n])
+                total, begin = total + n, begin + n
                 if total >= SHARD_TOKENS:
                     yield flush()
                     shard, start, total = shard + 1, start + total, 0
-                    doc_ids, sizes, held = [], [], []
+                    doc_ids, sizes, held_ = [], [], []
         if doc_ids:
             yield flush()
 
@@ -254,7 +314,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     small_batches(spark)
     path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    with tidy(spark):
+        ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
@@ -278,5 +339,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 columns = [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array([len(data)] * len(sizes), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "shard_bytes"])
 
-    shards.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(shards.sparkSession)
     return placed.mapInArrow(run, READ_SCHEMA)
