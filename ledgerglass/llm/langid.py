@@ -1,7 +1,7 @@
 """Language sets by expectation-maximisation over a mixture of n-gram models.
 
 Byte trigrams of lower-cased words, each with a space on both sides, give a multinomial for each language (hashed table,
-additive smoothing), fitted on at most SAMPLE documents a language. A document is a mixture: every word comes from one
+additive smoothing), counted on executors from about SAMPLE documents a language, those whose ids hash lowest. A document is a mixture: every word comes from one
 language; EM estimates the proportions. Sets of the m largest proportions are refitted, and the one with the best
 likelihood less half a log of the words for each further language is its language set; the largest proportion in it is
 the prediction and its score.
@@ -12,18 +12,18 @@ Without any training row every document is `und`.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import map_batches, small_batches, texts_of
+from .common import held, map_batches, slices, small_batches, texts_of
 
 BITS, SAMPLE, SMOOTH, STEPS, REFIT = 15, 1500, 0.5, 6, 3
+#: Characters whose words are mixed at once: every word has a row of likelihoods in several arrays.
+CHARACTERS = 1 << 18
 SCHEMA = "doc_id bigint, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
@@ -38,14 +38,23 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[within], sizes
 
 
+def count(texts: list[str]) -> np.ndarray:
+    """How often each trigram occurs in the texts."""
+    out = np.zeros(1 << BITS, np.int64)
+    for some in slices(texts):
+        out += np.bincount(grams([w for t in some for w in t.split()])[0], minlength=1 << BITS)
+    return out
+
+
+def model_of(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Languages in alphabetic order and their table of log probabilities, (2**BITS, languages)."""
+    names = sorted(counts)
+    table = np.stack([counts[k] for k in names], 1) + SMOOTH if names else np.zeros((1 << BITS, 0))
+    return names, np.log(table / table.sum(0)).astype(np.float32)
+
+
 def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and their table of log probabilities, (2**BITS, languages)."""
-    names = sorted(set(langs))
-    counts = np.zeros((1 << BITS, len(names)))
-    for k, name in enumerate(names):
-        for at in range(0, len(own := [t for t, lang in zip(texts, langs, strict=True) if lang == name]), 100):
-            counts[:, k] += np.bincount(grams([w for t in own[at : at + 100] for w in t.split()])[0], minlength=1 << BITS)
-    return names, np.log((counts + SMOOTH) / (counts + SMOOTH).sum(0)).astype(np.float32) if names else np.zeros((1 << BITS, 0), np.float32)
+    return model_of({k: count([t for t, lang in zip(texts, langs, strict=True) if lang == k]) for k in set(langs)})
 
 
 def mixture(likelihood: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +86,7 @@ def mixture(likelihood: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tu
 class Reader:
     """A worker's model; likelihoods of words are kept while they are few."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, names: list[str], table: np.ndarray):
         self.names, self.table = names, table
@@ -102,10 +111,10 @@ class Reader:
 
     def read(self, texts: list[str]) -> list[tuple[str, float, list[str], list[float]]]:
         out: list = [("und", 0.0, [], [])] * len(texts)
-        for first in range(0, len(texts), 64):
-            words = [t.split() for t in texts[first : first + 64]]
-            if not self.names:
-                continue
+        end = 0
+        for some in slices(texts, CHARACTERS) if self.names else ():
+            first, end = end, end + len(some)
+            words = [t.split() for t in some]
             self.cover(set().union(*words))
             rows = [np.fromiter(map(self.rows.__getitem__, w), np.int64, len(w)) for w in words]
             likelihood = self.known[np.concatenate(rows)]
@@ -122,37 +131,48 @@ class Reader:
         return out
 
 
-@lru_cache(maxsize=1)
 def reader(model: Broadcast) -> Reader:
-    return Reader(*model.value)
+    return held(("langid", model), lambda: Reader(*model.value))
 
 
-def training_sample(docs: DataFrame, trains) -> tuple[list[str], list[str]]:
-    """At most SAMPLE texts of every language, those whose ids hash lowest, from one pass over the rows that train."""
+def learn(docs: DataFrame, trains) -> tuple[list[str], np.ndarray]:
+    """The model of about SAMPLE texts of every language: executors count, the driver gets a row a language and trigram."""
     rows = docs.where(trains & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return [], []
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return model_of({})
     spread = 1 << 20
-    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(spread, int(spread * SAMPLE * 1.2 / n) + 1))])
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < limit[F.col("lang")]).select("text", "lang", F.xxhash64("doc_id").alias("h")).collect()
-    left = dict.fromkeys(counts, SAMPLE)
-    texts, langs = [], []
-    for row in sorted(some, key=lambda r: (r["h"], r["text"])):
-        if left[row["lang"]]:
-            left[row["lang"]] -= 1
-            texts.append(row["text"])
-            langs.append(row["lang"])
-    return texts, langs
-
-
-def predict(docs: DataFrame, trains, keep: bool = False) -> DataFrame:
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(spread, int(spread * SAMPLE / n) + 1))])
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < limit[F.col("lang")]).dropDuplicates().select("lang", "text")
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            langs, texts = batch.column(0).to_pylist(), texts_of(batch)
+            found: list[tuple] = []
+            for k in sorted(set(langs)):
+                own = count([t for t, lang in zip(texts, langs, strict=True) if lang == k])
+                at = np.flatnonzero(own)
+                found.append((np.full(len(at), k, object), at, own[at]))
+            a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["lang", "gram", "n"])
+
+        return apply
+
+    small_batches(docs.sparkSession)
+    counts = {k: np.zeros(1 << BITS, np.int64) for k in sizes}
+    for r in map_batches(some, make, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
+        counts[r["lang"]][r["gram"]] = r["n"]
+    return model_of(counts)
+
+
+def predict(docs: DataFrame, trains, keep: str | None = None) -> DataFrame:
     """doc_id, lang_pred, score, languages, proportions of every document; trains: condition of the rows to learn from.
 
-    With keep: the documents' own columns, and the prediction as `__lang`.
+    With keep: the documents' own columns, and (lang_pred, score, languages) as a struct of that name.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(*training_sample(docs, trains)))
+    model = spark.sparkContext.broadcast(learn(docs, trains))
+    facts = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.int32())])
 
     def make():
         own = reader(model)
@@ -160,7 +180,8 @@ def predict(docs: DataFrame, trains, keep: bool = False) -> DataFrame:
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = own.read(texts_of(batch))
             if keep:
-                return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string())], [*batch.schema.names, "__lang"])
+                told = pa.array([{"lang_pred": x[0], "score": x[1], "languages": len(x[2])} for x in found], facts)
+                return pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, keep])
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
             return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*found, strict=True), kinds)], ["doc_id", "lang_pred", "score", "languages", "proportions"])
 
@@ -168,5 +189,6 @@ def predict(docs: DataFrame, trains, keep: bool = False) -> DataFrame:
 
     small_batches(spark)
     if keep:
-        return map_batches(docs, make, StructType([*docs.schema, StructField("__lang", StringType())]))
+        kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("languages", IntegerType())])
+        return map_batches(docs, make, StructType([*docs.schema, StructField(keep, kind)]))
     return map_batches(docs.select("doc_id", "text"), make, SCHEMA)

@@ -16,13 +16,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(n: int, k: int):
+    """Whether an id is kept from learning; a null id has no remainder, is not learnt from and counts as not held out."""
+    return F.coalesce(crc_mod("doc_id", n) == k, F.lit(False)).alias("held_out")
+
+
 def op1_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1))
 
 
 def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
+    return found.select("doc_id", held_out(5, 0), "score", "predicted", "spans")
 
 
 def op3_simhash_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def op8_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) != 2)
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score", "languages", "proportions")
 
 
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +70,4 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repair_token_ids, op2_toxic_spans, op3_simhash_vantage_points, op4_byte_bpe, op5_transcript_roles, op6_template_decontamination, op7_pairwise_quality, op8_super_kmers, op9_language_mixture, op10_matroska)}
-ORACLE_SQL: dict[str, str] = {"op6_template_decontamination": templates.sql()}
+ORACLE_SQL: dict[str, str] = {"op6_template_decontamination": templates.sql(), "op8_super_kmers": superkmers.sql()}

@@ -8,28 +8,30 @@ segments of SEGMENT tokens by gradients from forward-backward marginals. Scoring
 logistic function, fitted on the sample, of its largest marginal and of the expected number and share of toxic tokens; spans are
 runs of tokens whose marginal is at least one half, as character offsets.
 
-Null and empty texts have no tokens and score by the intercept. Without toxic labels every score is 0.
+Null and empty texts have no tokens and score by the intercept. Without toxic labels every score is 0. An id with labels
+of both kinds teaches nothing; of rows that repeat an id, the least text teaches.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_batches, small_batches, texts_of
-from .quality import labelled
+from .common import Memo, held, map_batches, slices, small_batches, texts_of
+from .quality import first_of_each, labelled
 
 SAMPLE = 2000
 SEGMENT, ROW, RIDGE, STEPS, RATE = 24, 64, 1e-3, 50, 0.5
 #: A feature marks toxic tokens if it is in LEAST toxic documents, PURE as a share of both rates, and this unlikely by chance.
 LEAST, PURE, SURE = 4, 0.8, 40.0
 STEMS = range(4, 9)
+#: Characters whose tokens are scored at once: every token has matrices in several arrays.
+CHARACTERS = 1 << 18
 SCHEMA = "doc_id bigint, score double, predicted int, spans array<struct<begin:int,end:int>>"
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”‘’"
 TOKEN = re.compile(r"\S+")
@@ -82,6 +84,16 @@ def parts_of(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in STEMS if n < len(word))] if word else []
 
 
+def expected_moves(emission: np.ndarray, first: np.ndarray, initial: np.ndarray, moves: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of state to next state within chains, from the forward state and the next token's marginal p."""
+    e = np.stack([np.ones(len(emission)), np.exp(np.clip(emission, -30, 30))], 1)
+    forward = scan(np.where(first[:, None, None], initial[None, None, :], moves[None]) * e[:, None, :])
+    inner = np.flatnonzero(~np.append(first[1:], True))
+    given = forward[inner, :, None] * moves[None]
+    given /= given.sum(1, keepdims=True)
+    return (given * np.stack([1 - p[inner + 1], p[inner + 1]], 1)[:, None, :]).sum(0)
+
+
 class Field:
     """A trained field: weights of a feature for its own token and as left or right neighbour, and the chain's moves."""
 
@@ -191,12 +203,7 @@ def train(rows: list[tuple[str, int]]) -> Field:
         field.table = np.stack([np.bincount(of_kind, field.weights[member, c], len(keys)) for c in range(3)], 1)
         emission = field.emissions(flat, first)
         p = marginals(emission, first, field.initial, field.moves)
-        e = np.stack([np.ones(len(flat)), np.exp(np.clip(emission, -30, 30))], 1)
-        forward = scan(np.where(first[:, None, None], field.initial[None, None, :], field.moves[None]) * e[:, None, :])
-        # Expected moves: of a state given the next one, from the forward state and the next marginal.
-        given = forward[inner, :, None] * field.moves[None]
-        given /= given.sum(1, keepdims=True)
-        expected = (given * np.stack([1 - p[inner + 1], p[inner + 1]], 1)[:, None, :]).sum(0)
+        expected = expected_moves(emission, first, field.initial, field.moves, p)
         slope = (y - p) / n
         own = np.stack([np.bincount(flat, slope, len(keys)), np.bincount(flat[inner], slope[inner + 1], len(keys)), np.bincount(flat[inner + 1], slope[inner], len(keys))], 1)
         rise = np.stack([np.bincount(member, own[of_kind, c], len(field.features)) for c in range(3)], 1) - RIDGE * field.weights / len(field.features)
@@ -227,16 +234,15 @@ def train(rows: list[tuple[str, int]]) -> Field:
     return again
 
 
-@lru_cache(maxsize=1)
 def tagger(model: Broadcast) -> tuple[Field, Memo]:
-    field = model.value
-    return field, Memo(lambda tokens: list(map(field.kind, tokens)))
+    return held(("toxicity", model), lambda: (model.value, Memo(lambda tokens: list(map(model.value.kind, tokens)))))
 
 
 def tag(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
     """doc_id, score, predicted, spans of every document; trains: condition of the labels to learn from."""
     spark = docs.sparkSession
     rows, _ = labelled(docs, labels, "toxic", trains, SAMPLE)
+    rows = [(r["text"], r["label"]) for r in first_of_each(rows.collect(), SAMPLE)]
     model = spark.sparkContext.broadcast(train(rows))
 
     def make():
@@ -256,8 +262,7 @@ def tag(docs: DataFrame, labels: DataFrame, trains) -> DataFrame:
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores, found, texts = [], [], texts_of(batch)
-            for at in range(0, len(texts), 100):
-                some = texts[at : at + 100]
+            for some in slices(texts, CHARACTERS):
                 words = [TOKEN.findall(t) for t in some]
                 score, parts = field.read([np.array(x, np.int64) for x in ids.fetch(words)])
                 scores.append(score)

@@ -3,11 +3,13 @@
 A transcript is text whose turns may begin with a speaker marker ("User:", "**Assistant:**", "[system]", "Q:", ...),
 may have lost it, and may run over several lines. States are role x (begins a turn, goes on); a line shows its marker
 class, whether a blank line stands before it, its length and whether it asks. Start, move and emission probabilities are
-counts with one added, from at most SAMPLE labelled conversations; Viterbi finds the states of all lines of a whole
-transcript. Turns are rendered as `<|role|>`, a newline, the text, `<|end|>` and a newline.
+smoothed counts, taken on executors from about SAMPLE labelled conversations; Viterbi finds the states of all lines of a
+whole transcript (of equally likely ones, the state named first: system, user, assistant, then going on). Turns are
+rendered as `<|role|>`, a newline, the text, `<|end|>` and a newline; blank lines inside a turn stay, those around it go.
 
-Null or empty transcripts have no turns. Turns with the same number follow role, then text. Null text is empty, null or
-unknown roles count as user. Rows without conv_id belong to no conversation and are left out.
+Null or empty transcripts have no turns. Turns without a number come first, those with the same one follow role, then
+text. Null text is empty, and an empty turn keeps its marker; null or unknown roles count as user. Rows without conv_id
+belong to no conversation and are left out. A conversation is one row, as Viterbi needs the whole of it.
 """
 
 from __future__ import annotations
@@ -42,18 +44,18 @@ def look(line: str) -> tuple[int, str]:
 
 
 def lines_of(transcript: str | None) -> tuple[list[tuple[int, int, int, int]], list[str], list[str]]:
-    """Features of every line that is not blank, its text with and without the marker."""
-    seen, raw, bare, blank = [], [], [], 1
+    """Features of every line that is not blank; its text with the blank lines before it; its text without the marker."""
+    seen, raw, bare, blank = [], [], [], ""
     for line in (transcript or "").split("\n"):
         if not line.strip():
-            blank = 1
+            blank += line + "\n"
             continue
         kind, rest = look(line)
         words = len(rest.split())
-        seen.append((kind, blank, min(LENGTHS - 1, words.bit_length() // 2), int(rest.rstrip().endswith("?"))))
-        raw.append(line)
+        seen.append((kind, int(bool(blank) or not raw), min(LENGTHS - 1, words.bit_length() // 2), int(rest.rstrip().endswith("?"))))
+        raw.append(blank + line)
         bare.append(rest)
-        blank = 0
+        blank = ""
     return seen, raw, bare
 
 
@@ -62,8 +64,31 @@ class Model:
 
     SIZES = (MARKERS, 2, LENGTHS, 2)
 
-    def __init__(self, labelled: list[tuple[str, list[int]]]):
-        start, moves, emissions = np.zeros(6), np.zeros((6, 6)), [np.zeros((6, n)) for n in self.SIZES]
+    def __init__(self, labelled: list[tuple[str, list[int]]] | np.ndarray):
+        """From labelled transcripts, or from the sum of their counts."""
+        counts = labelled if isinstance(labelled, np.ndarray) else self.counts(labelled)
+        start, moves, *emissions = self.parts(counts)
+        allowed = np.array([[b < 3 or a % 3 == b % 3 for b in range(6)] for a in range(6)])
+        with np.errstate(divide="ignore"):
+            self.start = np.log(np.where(np.arange(6) < 3, start + 1, 0) / (start[:3].sum() + 3))
+            moves = np.where(allowed, moves + 0.2, 0)
+            self.moves = np.log(moves / moves.sum(1, keepdims=True))
+        self.emissions = [np.log((t + 0.2) / (t + 0.2).sum(1, keepdims=True)) for t in emissions]
+
+    @classmethod
+    def parts(cls, flat: np.ndarray) -> list[np.ndarray]:
+        """Start, moves and emission tables within one flat array, as views."""
+        shapes, out, at = [(6,), (6, 6), *((6, n) for n in cls.SIZES)], [], 0
+        for shape in shapes:
+            size = int(np.prod(shape))
+            out.append(flat[at : at + size].reshape(shape))
+            at += size
+        return out
+
+    @classmethod
+    def counts(cls, labelled: list[tuple[str, list[int]]]) -> np.ndarray:
+        flat = np.zeros(42 + 6 * sum(cls.SIZES))
+        start, moves, *emissions = cls.parts(flat)
         for transcript, states in labelled:
             seen, _, _ = lines_of(transcript)
             for k, (features, state) in enumerate(zip(seen, states, strict=True)):
@@ -73,12 +98,7 @@ class Model:
                     start[state] += 1
                 for table, x in zip(emissions, features, strict=True):
                     table[state, x] += 1
-        allowed = np.array([[b < 3 or a % 3 == b % 3 for b in range(6)] for a in range(6)])
-        with np.errstate(divide="ignore"):
-            self.start = np.log(np.where(np.arange(6) < 3, start + 1, 0) / (start[:3].sum() + 3))
-            moves = np.where(allowed, moves + 0.2, 0)
-            self.moves = np.log(moves / moves.sum(1, keepdims=True))
-        self.emissions = [np.log((t + 0.2) / (t + 0.2).sum(1, keepdims=True)) for t in emissions]
+        return flat
 
     def viterbi(self, seen: list[tuple[int, int, int, int]]) -> list[int]:
         if not seen:
@@ -120,10 +140,10 @@ def log_of(conv_id: int, turns: list[tuple[str, str]]) -> tuple[str, list[int]]:
     blocks, states = [], []
     for k, (role, text) in enumerate(turns):
         number = ROLES.index(role) if role in ROLES else 1
-        lines = [x for x in text.split("\n") if x.strip()] or ["..."]
-        lost = k and hashlib.blake2b(f"{conv_id} {k}".encode(), digest_size=1).digest()[0] < 26
+        lines = text.strip().split("\n")
+        lost = k and text.strip() and hashlib.blake2b(f"{conv_id} {k}".encode(), digest_size=1).digest()[0] < 26
         blocks.append(("" if lost else style[number]) + "\n".join(lines))
-        states += [number] + [number + 3] * (len(lines) - 1)
+        states += [number] + [number + 3] * (sum(bool(x.strip()) for x in lines) - 1)
     return "\n\n".join(blocks), states
 
 
@@ -148,10 +168,21 @@ def logs(rows: DataFrame) -> DataFrame:
 
 
 def fit(raw: DataFrame) -> Model:
-    """From about SAMPLE labelled transcripts (those whose ids hash low), however many there are."""
+    """From about SAMPLE labelled transcripts (those whose ids hash low), however many there are; executors count."""
     low = F.pmod(F.xxhash64("conv_id"), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(1, raw.count())) * (1 << 40))
-    some = sorted(raw.where(low).collect(), key=lambda r: r["conv_id"])
-    return Model([(r["transcript"], r["states"]) for r in some])
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = Model.counts(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found)], ["k", "n"])
+
+        return apply
+
+    small_batches(raw.sparkSession)
+    total = Model.counts([])
+    for r in map_batches(raw.where(low).select("transcript", "states"), make, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        total[r["k"]] = r["n"]
+    return Model(total)
 
 
 def parse(raw: DataFrame, model: Model) -> DataFrame:
