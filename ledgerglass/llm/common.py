@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch, and so of the rows that a Python worker is sent at once. All operators of this folder use one size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Characters of the texts that are cut into words at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Removes the shuffle files of a write or a count as soon as it has ended.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -51,9 +51,15 @@ def tidy(spark: SparkSession):
         spark.conf.set(TIDY, before)
 
 
-def settle(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, a lost executor loses nothing."""
+#: Of the usual tasks, one in so many writes a table that is small beside its documents, so that it is not many tiny files.
+SMALL, FEWEST = 16, 4
+
+
+def settle(df: DataFrame, name: str, codec: str = "snappy", small: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends, a lost executor loses nothing. small: few bytes a document, right behind a shuffle, as one task then does the work of several."""
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(FEWEST, int(spark.conf.get("spark.sql.shuffle.partitions")) // SMALL))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with tidy(spark):
         df.write.option("compression", codec).parquet(path)
@@ -88,11 +94,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def slices(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, about SLICE characters at once."""
+def slices(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:
+    """The texts in order, about so many characters at once."""
     some, size = [], 0
     for t in texts:
-        if some and size + len(t) > SLICE:
+        if some and size + len(t) > most:
             yield some
             some, size = [], 0
         some.append(t)
@@ -132,7 +138,7 @@ class Memo:
 
     ENTRY = 200  # bytes of an entry besides the letters of key and value
 
-    def __init__(self, fill: Callable[[list], list], most: int = 24 << 20):
+    def __init__(self, fill: Callable[[list], list], most: int = 12 << 20):
         self.fill, self.most, self.size = fill, most, 0
         self.young: dict = {}
         self.old: dict = {}

@@ -59,7 +59,6 @@ def test_token_shards_round_trip(spark, odd, monkeypatch):
 
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     shards = repair.write_shards(odd, path, 1)
     got = sorted(repair.read_shards(shards).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, None, 0, 1, 1, *range(2, 10)]
@@ -231,6 +230,28 @@ def test_super_kmers_equal_brute_force(spark, odd):
     assert all(cut[i] == t for i, t in rows_of(docs) if i not in sums)
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_super_kmers_of_repeated_rows_and_hot_minimisers(spark, monkeypatch, hot):
+    monkeypatch.setattr(superkmers, "HOT_STRINGS", hot)
+    dice = random.Random(8)
+    passage = " ".join(invented(dice, 70))
+    rows = [(i, " ".join([*invented(dice, 30), passage, *invented(dice, 30)])) for i in range(40)]
+    rows += [(50, " ".join(["tick"] * 300)), (51, " ".join(["tick"] * 200)), (52, passage + " " + " ".join(["tick"] * 60))]
+    rows += [rows[0]] * 1000 + [(0, passage)] * 3 + [(50, passage)]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert sorted((str(r[0]), *r[1:]) for r in superkmers.digests(docs).collect()) == brute_windows(rows)
+
+
+def test_super_kmer_sql_agrees(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op8_super_kmers"])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, queries.op8_super_kmers(spark, data).select(*columns).collect())) == sorted(want.fetchall())
+
+
 ITEM = "A train with Anna and Bert travels 120 km in 3 hours, then Anna walks 7 km before the very long evening meal begins."
 
 
@@ -243,16 +264,58 @@ def test_templates(spark):
     assert [r[0] for r in templates.clean(docs, items).select("doc_id").orderBy("doc_id").collect()] == [1, 3, 4, 5]
 
 
+SUM = "Tom has 5 red apples in a basket. Tom buys 3 more from the old market, and Anna has 2 pounds of 1,500 sweet pears. How many are left?"
+
+
+def test_templates_of_other_forms(spark):
+    """Names that begin sentences, other numbers and units, another case, short items and items made of numbers."""
+    items = spark.createDataFrame([(1, SUM), (2, "What is the capital of France?"), (3, "Fill in: 1, 2, 4, 8, 16, 32 and 64 or 12.5"), (4, SUM.lower().replace("apples", "plums")), (5, "in short"), (5, "only few")], "item_id long, text string")
+    renamed = SUM.replace("Tom", "Carl").replace("Anna", "Dora").replace("1,500", "900").replace("pounds", "kilograms").replace(" 3 ", " 2.5 ")
+    texts = [SUM.upper(), SUM.lower(), renamed, renamed.replace("Carl buys", "Emil buys"), "He asked. What is the capital of Spain? Nobody knew.", "What Is The Capital Of France", "Fill in 1 2 4 8 16 32 and 64 or 12.5!", "Fill in 1 2 4 8 16 33 and 64 or 12.5!", SUM.replace("apples", "plums"), "in short, only few"]
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in templates.contaminated(documents(spark, texts), items).collect()}
+    assert got == {(0, 1): False, (1, 1): False, (2, 1): True, (4, 2): True, (6, 3): False, (8, 4): False}
+
+
+def test_templates_of_repeated_rows(spark):
+    items = spark.createDataFrame([(1, ITEM), (1, "zzz " + ITEM), (2, None)], "item_id long, text string")
+    docs = documents(spark, [ITEM, ITEM, "x y", None, ITEM], [3, 3, 3, 4, None]).withColumns({"leak": F.lit(1), "h": F.lit(2), "item_id": F.lit(1)})
+    assert [r["doc_id"] for r in templates.contaminated(docs, items).collect()] == [3]
+    assert sorted(str(r["doc_id"]) for r in templates.clean(docs, items).collect()) == ["4", "None"]
+
+
+def template_sql(con):
+    want = con.execute(queries.ORACLE_SQL["op6_template_decontamination"])
+    return [d[0] for d in want.description], sorted(want.fetchall())
+
+
+def test_template_sql_agrees_on_forms(spark):
+    import duckdb
+    import pandas as pd
+
+    dice = random.Random(9)
+    texts = [SUM, ITEM, "What is the capital of France?", "1, 2, 4, 8, 16, 32, 64 or 12.5 in all", SUM.lower(), "Anna Bert Carl Dora Emil Fritz Gina Hugo Ina met"]
+    rows = []
+    for i in range(150):
+        words = dice.choice(texts).split()
+        for _ in range(dice.randint(0, 3)):
+            words[dice.randrange(len(words))] = dice.choice(["7", "Zoe", "km", "3.5", "tall", "ÉMILE"])
+        rows.append((i, dice.choice([str, str.upper, str.lower, str.title])(" ".join(dice.choice([["Hm,"], []]) + words))))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(list(enumerate(texts)), columns=["item_id", "text"]))
+    columns, want = template_sql(con)
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    assert sorted(map(tuple, templates.contaminated(documents(spark, [t for _, t in rows]), items).select(*columns).collect())) == want and len(want) > 50
+
+
 def test_template_sql_agrees(spark, data):
     import duckdb
 
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
-    want = con.execute(queries.ORACLE_SQL["op6_template_decontamination"])
-    columns = [d[0] for d in want.description]
-    got = queries.op6_template_decontamination(spark, data).select(*columns).collect()
-    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    columns, want = template_sql(con)
+    assert sorted(map(tuple, queries.op6_template_decontamination(spark, data).select(*columns).collect())) == want
 
 
 def test_matroska_round_trip(spark, odd):
