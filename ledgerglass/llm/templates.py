@@ -148,7 +148,7 @@ def enough() -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, slot_count, reparameterised of every document that holds an item."""
     items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    own = settle(item_windows(items).withColumn("form", F.when(F.col("kind") == "L", "T").otherwise(F.col("kind"))), "item-windows")
+    own = settle(item_windows(items).withColumn("form", F.when(F.col("kind") == "L", "T").otherwise(F.col("kind"))), "item-windows", small=True)
     facts = own.agg(F.collect_set("length"), F.collect_set("form"), F.count("*")).first()
     lengths, blind, numeric, small = sorted(facts[0]) or [WINDOW], "S" in facts[1], "V" in facts[1], facts[2] <= BROADCAST_WINDOWS
     totals = own.groupBy("item_id").agg(*counts("place")).toDF("item_id", "item_windows", "item_general")
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = known.select("item_id", "place", "general", F.coalesce(*[F.when((F.col("form") == f) & (F.col("length") == n), key(f, n)) for f in "TSV" for n in lengths]).alias("h")).distinct()
     met = window_hashes(here, lengths, blind, numeric).join(F.broadcast(known) if small else known, "h")
     shared = met.groupBy("doc_id", "item_id").agg(*counts("place"))
-    candidates = settle(shared.join(totals, "item_id").where(enough()).select("doc_id", "item_id", "item_windows", "item_general"), "candidates")
+    candidates = settle(shared.join(totals, "item_id").where(enough()).select("doc_id", "item_id", "item_windows", "item_general"), "candidates", small=True)
 
     asked = candidates.select("doc_id").distinct()
     few = settle(here.join(asked, "doc_id", "left_semi").select("doc_id", F.split(slotted(F.col("text")), " ").alias("w")), "candidate-words")
@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sound = pairs.join(of_shift, ["doc_id", "item_id", "shift"], "left").where(F.coalesce("values", F.lit(1)) == 1)
     slotted_ = [F.coalesce(F.max("slots"), F.lit(0)).alias("slot_count"), F.coalesce(F.max("other"), F.lit(False)).alias("reparameterised")]
     found = sound.groupBy("doc_id", "item_id", "item_windows", "item_general").agg(*counts("item_place"), *slotted_).where(enough())
-    out = settle(found.select("doc_id", "item_id", F.col("n").alias("matched_windows"), "item_windows", "slot_count", "reparameterised"), "contaminated")
+    out = settle(found.select("doc_id", "item_id", F.col("n").alias("matched_windows"), "item_windows", "slot_count", "reparameterised"), "contaminated", small=True)
     discard(own, candidates, few)
     return out
 
