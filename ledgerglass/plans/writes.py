@@ -71,8 +71,9 @@ SNK2 = f"""select workspace_id, provider_id, status, cast(local_date as varchar)
 
 
 def snk3_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of landed bills meet across accounts in larger tables, so the account is part of the key: no landed bill is lost."""
     stored, new = frames(spark, sf_dir, "bill", "landed_bill")
-    return plain(imports.import_children(stored, new, ["workspace_id", "id"], ["account_id", "status", "currency", "due_date", "total_amount"])[0])
+    return plain(imports.import_children(stored, new, ["workspace_id", "account_id", "id"], ["status", "currency", "due_date", "total_amount"])[0])
 
 
 def snk3_payments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import json
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerglass.operators import classification, commitments, imports, lists, validate
+from ledgerglass.plans import writes
 from ledgerglass.sources import provider
 from ledgerglass.streaming import inbox
 
@@ -81,6 +83,15 @@ def test_import_twice_changes_nothing(spark):
     assert not empty.transactions.count() and not empty.counts.count()
 
 
+def test_bills_of_two_accounts_may_share_an_id(spark, monkeypatch):
+    day, schema = date(2026, 1, 1), "workspace_id long, id long, account_id long, status string, currency string, due_date date, total_amount decimal(20,6)"
+    stored = spark.createDataFrame([(1, 5, 7, "OPEN", "BRL", day, Decimal(3))], schema)
+    landed = spark.createDataFrame([(1, 5, 7, "CLOSED", "BRL", day, Decimal(4)), (1, 5, 8, "OPEN", "USD", day, Decimal(9))], schema)
+    monkeypatch.setattr(writes, "frames", lambda *_: [stored, landed])
+    found = writes.snk3_bills(spark, "").collect()
+    assert sorted((r["id"], r["account_id"], r["status"], r["total_amount"]) for r in found) == [(5, 7, "CLOSED", "4.000000"), (5, 8, "OPEN", "9.000000")]
+
+
 def test_bounds(spark):
     for ids in ([], ["a", "a"], [str(k) for k in range(1001)]):
         with pytest.raises(ValueError):
