@@ -35,8 +35,8 @@ ONE_TASK = 1 << 20
 #: Shards that one tree deals to, at most.
 SHARDS = 256
 LEAF, CELLS = 768, 1 << 21
-#: Documents whose shingles are counted and shingles taken as common, at most. They only order shingles; results never depend on them.
-COUNTED, COMMON = 8_192, 65_536
+#: The share of hashes whose shingles are counted, the number of texts up to which a shingle is not common, and shingles taken as common, at most. They only order shingles; results never depend on them.
+COUNTED, FEW, COMMON = 0.375, 3, 1 << 18
 #: Pairs of different groups for each row of the index, up to which all are compared without looking for more leaders.
 PAIRS_A_ROW = 4
 #: Bits of a set's parity (a multiple of 64).
@@ -300,19 +300,32 @@ def components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of COUNTED documents have, ascending, and their ranks by frequency (from 1)."""
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, COUNTED / max(1, docs.count())) * (1 << 40))
+    """Shingles that more than FEW different texts have, ascending, and their ranks by that number (from 1).
+
+    All documents are counted, for the shingles of the lower COUNTED of all hashes: prefixes hold the lowest ones, beside a few more.
+    Texts are told apart by 64 bits of a mask, so copies of one text count once; the COMMON most frequent are taken.
+    """
+    below = np.uint64(int(COUNTED * (1 << 64)))
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+            found = []
+            for text in texts_of(batch):
+                hashes = shingle_hashes(text, words_per_shingle)
+                found.append(np.unique(hashes[hashes < below]))
+            masks = np.repeat(np.int64(1) << (batch.column(0).to_numpy(zero_copy_only=False) % 64), [len(f) for f in found])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(masks)], ["token", "mask"])
 
         return apply
 
     small_batches(docs.sparkSession)
-    counted = map_batches(docs.where(low).select("doc_id", "text"), make, "token bigint").groupBy("token").count().where("count > 1")
-    tokens = np.array([r["token"] for r in counted.orderBy(F.desc("count"), "token").limit(COMMON).collect()], np.int64).view(np.uint64)
+    tokens = map_batches(docs.select(F.pmod(F.xxhash64("text"), F.lit(64)).alias("slot"), "text"), make, "token bigint, mask bigint")
+    # Few tokens repeat within a task, so they are counted behind the shuffle only.
+    counted = tokens.repartition("token").groupBy("token").agg(F.bit_count(F.bit_or("mask")).alias("texts"), F.count("*").alias("n")).where(F.col("texts") > FEW)
+    counted = settle(counted, "common", small=True)
+    found = counted.orderBy(F.desc("texts"), F.desc("n"), "token").limit(COMMON).select("token").toArrow()
+    discard(counted)
+    tokens = found.column(0).to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], len(tokens) - order
 

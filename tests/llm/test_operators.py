@@ -159,6 +159,14 @@ def test_near_copies_among_shared_passages(spark, monkeypatch, pairs_a_row):
         texts += [" ".join(words), " ".join(other)]
     assert kept_of(spark, texts) == plain_groups(texts)
 
+def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 0.999999)
+    own, shared = invented(random.Random(9), 80), "one passage that many different texts share"
+    texts = [f"{' '.join(own[8 * k : 8 * k + 8])} {shared}" for k in range(10)] + ["copies of one text are not frequent"] * 20
+    tokens, ranks = simhash.common_shingles(documents(spark, texts), 5)
+    assert set(tokens.tolist()) == set(simhash.shingle_hashes(shared, 5).tolist()) and sorted(ranks.tolist()) == [1, 2, 3]
+
+
 def test_short_near_copies(spark):
     dice = random.Random(5)
     texts = []
