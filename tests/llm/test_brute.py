@@ -100,6 +100,26 @@ def test_pairwise_fit_is_the_maximum():
     assert (scores < ranker.threshold).mean() <= 1 - share <= (scores <= ranker.threshold).mean() + 1e-9
 
 
+def test_every_labelled_row_teaches_quality(spark, monkeypatch):
+    for name, value in (("RARE", 8), ("OTHERS", 16), ("PAIRS", 500)):
+        monkeypatch.setattr(quality, name, value)
+    dice = np.random.default_rng(5)
+    texts = [" ".join(dice.choice(["word", "Other", "x1", "!!", "lorem"], dice.integers(1, 30))) for _ in range(300)]
+    x, y = np.array([quality.features(t) for t in texts]), (dice.random(300) < 0.85).astype(int)
+    seen = spark.createDataFrame([(k, k, r.tobytes()) for k, r in enumerate(x)], "doc_id long, text_hash long, x binary")
+    known = spark.createDataFrame([(k, int(label)) for k, label in enumerate(y)], "doc_id long, label int")
+    rows = seen.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "x", "label")
+    groups = quality.grouped(rows, {1: int(y.sum()), 0: int(300 - y.sum())})[0].collect()
+    many, few = ([r.tobytes() for g in groups for r in np.frombuffer(g[side]).reshape(-1, x.shape[1])] for side in ("many", "few"))
+    assert len(groups) > 5 and sorted(many) == sorted(r.tobytes() for r in x[y == 1]) and set(few) == {r.tobytes() for r in x[y == 0]}
+    ranker = quality.train(seen, known)
+    assert np.allclose(ranker.centre, x.mean(0)) and np.allclose(ranker.scale, x.std(0) + 1e-6)
+    assert ranker.threshold == np.sort(ranker.raw(x))[300 - y.sum() - 1]
+    some = quality.flip(dice.normal(size=500).view(np.int64))
+    keys = spark.createDataFrame([(int(k),) for k in some], "key long")
+    assert [quality.nth(keys, n) for n in (0, 250, 499)] == [np.sort(some)[n] for n in (0, 250, 499)]
+
+
 def test_expected_moves_equal_enumeration():
     dice = np.random.default_rng(3)
     n, initial, moves, emission = 8, np.array([0.6, 0.4]), dice.uniform(0.2, 2, (2, 2)), dice.normal(size=8)
