@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, held, shared_folder, slices, small_batches, texts_of, tidy
+from .common import BATCH_BYTES, Memo, held, shared_folder, slices, small_batches, texts_of, tidy
 
 MAGIC, HEADER = b"RPG1", "<4sIIII"
 SHARD_TOKENS, STEP, SYMBOLS = 1 << 20, 1024, 1 << 16
@@ -35,18 +35,22 @@ SLOT_BITS = 18
 SHARD_SCHEMA = "part int, shard int, part_start bigint, tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, data binary"
 READ_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard_bytes bigint"
 
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Kinds of bytes: what parts chunks, letters (ASCII, and 0xC3 with what may follow), PUNCTUATION, all others.
+SPACE, LETTER, MARKS, OTHER = range(4)
+KINDS = bytes(SPACE if b in b" \n" else LETTER if b == 0xC3 or 0x80 <= b < 0xC0 or bytes([b]).isalpha() else MARKS if b in PUNCTUATION else OTHER for b in range(256))
+
 
 class Encoder:
     """Word ids by the tokenizers library, end id appended.
 
     Normaliser and pre-tokenizer of the vocabulary never join characters across white space, so a text's ids are those
-    of its chunks between spaces; each distinct chunk goes through the library once while the memo holds it. Of a chunk
-    of Latin letters with ASCII punctuation behind them, both parts are words of their own, and case does not count; what
-    has letters alone needs no normaliser and no pattern, only the library's model. Texts that may hold a special token
-    go through the library whole.
+    of its chunks between spaces. Of a chunk of Latin letters with ASCII punctuation behind them, both parts are words of
+    their own, and case does not count; what has letters alone needs no normaliser and no pattern, only the library's
+    model. Chunks are cut into such pieces before they are told apart, and each distinct piece goes through the library
+    once while the memo holds it. Texts that may hold a special token go through the library whole.
     """
 
-    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     #: A word of one id that parts the words of a call.
     MARK = "\x01"
 
@@ -65,18 +69,13 @@ class Encoder:
         suffix = self.library.model.end_of_word_suffix
         self.ends = np.zeros(SYMBOLS, bool)  # ids that end a word
         self.ends[[k for word, k in self.library.get_vocab().items() if word.endswith(suffix)]] = True
-        self.words = Memo(self.encode_words)
-        self.others = Memo(self.encode_others)
-        self.chunks = Memo(self.encode_chunks)
+        self.pieces = Memo(self.encode_pieces, 36 << 20)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Of words of letters, or none; many in one call, as a call costs more than a word."""
-        if "" in words:
-            k = words.index("")
-            return [*self.encode_words(words[:k]), b"", *self.encode_words(words[k + 1 :])]
+        """Of words of letters, in either case; many in one call, as a call costs more than a word."""
         out = []
-        for at in range(0, len(words), 1000):
-            ids = np.array(self.plain_words.encode_batch_fast([" ".join(words[at : at + 1000])], add_special_tokens=False)[0].ids, "<u2")
+        for at in range(0, len(words), 250):
+            ids = np.array(self.plain_words.encode_batch_fast([" ".join(words[at : at + 250]).lower()], add_special_tokens=False)[0].ids, "<u2")
             ends, raw = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist(), ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
@@ -97,11 +96,39 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        heads = [chunk.rstrip(self.PUNCTUATION) for chunk in chunks]
-        heads = [h if h.isalpha() and (h.isascii() or max(h) < "\u0130") else "" for h in heads]
-        tails = [chunk[len(head) :] for head, chunk in zip(heads, chunks, strict=True)]
-        return list(map(bytes.__add__, self.words.each([h.lower() for h in heads]), self.others.each(tails)))
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        letters = [w.isalpha() and (w.isascii() or max(w) < "\u0130") for w in pieces]
+        words = iter(self.encode_words([w for w, k in zip(pieces, letters, strict=True) if k]))
+        others = iter(self.encode_others([w for w, k in zip(pieces, letters, strict=True) if not k]))
+        return [next(words) if k else next(others) for k in letters]
+
+    def cut(self, texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The pieces of all texts, and where each text's begin: the chunks between spaces, what is behind a chunk's letters on its own."""
+        coded = [t.encode() for t in texts]
+        joined = b" ".join(coded)
+        raw, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(KINDS), np.uint8)
+        before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))[: len(kind)]
+        solid, solid_before = kind != SPACE, before != SPACE
+        begin, end = np.flatnonzero(solid & ~solid_before), np.flatnonzero(~solid & solid_before)
+        if len(end) < len(begin):
+            end = np.append(end, len(raw))
+        # Chunks of which no part is a word of its own: letters behind punctuation, or anything else.
+        mixed = (kind == OTHER) | (before == MARKS) & (kind == LETTER)
+        mixed[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # the signs of times and division
+        whole = np.zeros(len(begin), bool)
+        whole[np.searchsorted(begin, np.flatnonzero(mixed), "right") - 1] = True
+        tails = np.flatnonzero((before == LETTER) & (kind == MARKS))
+        chunk = np.searchsorted(begin, tails, "right") - 1
+        tails, chunk = tails[~whole[chunk]], chunk[~whole[chunk]]
+        after = np.cumsum(end - begin)
+        at = after - (end - begin)  # of a chunk, without spaces
+        places = np.sort(np.concatenate((at, at[chunk] + tails - begin[chunk], after[-1:])), kind="stable")
+        starts = np.cumsum([0, *(len(c) + 1 for c in coded)])
+        chunks = np.searchsorted(begin, starts)
+        edges = chunks + np.searchsorted(tails, starts)
+        if not len(begin):
+            return pa.array([], pa.large_string()), edges
+        return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(raw[solid])), edges
 
     @staticmethod
     def plain(text: str) -> str:
@@ -115,13 +142,14 @@ class Encoder:
     def texts(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """The ids of all texts end to end, and how many each has."""
         ids, sizes = [], []
-        for some in slices(texts):
+        for some in slices(texts, BATCH_BYTES):
             odd = {k: self.whole(t) for k, t in enumerate(some) if any(x in t for x in self.special)}
-            cut = pc.split_pattern(pa.array(["" if k in odd else self.plain(t).replace("\n", " ") for k, t in enumerate(some)], pa.large_string()), " ")
-            edges, known = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
-            values = self.chunks.of(known.dictionary.to_pylist())
+            cut, edges = self.cut(["" if k in odd else self.plain(t) for k, t in enumerate(some)])
+            known = cut.dictionary_encode()
+            distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(known.dictionary)], known.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py()
+            values = self.pieces.of(distinct.split(" ") if distinct else [])
             taken = pa.array(values, pa.large_binary()).take(known.indices)
-            at = np.frombuffer(taken.buffers()[1], np.int64)[edges].tolist()
+            at = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy())))[edges].tolist()
             raw = memoryview(taken.buffers()[2] or b"")
             for k in range(len(some)):
                 own = odd.get(k, raw[at[k] : at[k + 1]])
@@ -139,9 +167,11 @@ def places(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out, open_, left = np.full(len(keys), -1, np.int32), np.arange(len(keys)), np.arange(len(chosen), dtype=np.int32)
     factor = np.uint32(0x9E3779B1)
     while len(left) and len(open_):
-        table, slots = np.zeros(1 << 18, np.int32), chosen[left] * factor >> np.uint32(14)
+        table, slots = np.full(1 << 18, -1, np.int32), (chosen[left] * factor >> np.uint32(14)).astype(np.intp)
         table[slots] = left
-        found = table[keys[open_] * factor >> np.uint32(14)]
+        found = table.take((keys[open_] * factor >> np.uint32(14)).astype(np.intp))
+        filled = np.flatnonzero(found >= 0)  # a pair whose slot is empty is none of those chosen
+        open_, found = open_[filled], found[filled]
         hit = chosen[found] == keys[open_]
         out[open_[hit]] = found[hit]
         open_, left, factor = open_[~hit], left[table[slots] != left], np.uint32((int(factor) * 3 + 2) & 0xFFFFFFFF)
@@ -150,8 +180,31 @@ def places(chosen: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def pairs_of(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs as 32-bit keys, and their hashed slots."""
-    keys = sequence[:-1].astype(np.uint32) << np.uint32(16) | sequence[1:]
-    return keys, (keys * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+    keys = sequence[:-1].astype(np.uint32)
+    keys <<= np.uint32(16)
+    keys |= sequence[1:]
+    slots = keys * np.uint32(0x9E3779B1)
+    slots >>= np.uint32(32 - SLOT_BITS)
+    return keys, slots.astype(np.intp)
+
+
+def most_frequent(keys: np.ndarray, slots: np.ndarray, counts: np.ndarray, bound: int, most: int, guess: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places that hold all occurrences of the `most` pairs with the most, bound at least, the lesser first of equals; these pairs; the least of their numbers.
+
+    Where symbols are nearly used up, few pairs are wanted of very many: a higher bound, guess at most, is tried first, and holds if enough pairs reach it.
+    """
+    reach = np.cumsum(np.bincount(counts)[::-1])[::-1]  # slots with as many occurrences or more
+    least = max(bound, min(guess, int(np.count_nonzero(reach >= 2 * most)) - 1))
+    while True:
+        some = np.flatnonzero((counts >= least).take(slots))
+        ordered = np.sort(keys[some])
+        begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+        often = np.diff(np.append(begin, len(ordered)))
+        enough = np.flatnonzero(often >= least)
+        if least == bound or len(enough) >= most:
+            enough = enough[np.argsort(-often[enough], kind="stable")[:most]]
+            return some, ordered[begin[enough]], int(often[enough[-1]]) if len(enough) == most else bound
+        least = max(bound, least * 3 // 4)
 
 
 def winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -185,15 +238,9 @@ def compress(ids: np.ndarray, terminals: int) -> bytes:
     rules, lengths, sequence, total = [], np.ones(SYMBOLS, np.uint32), ids, terminals
     keys, slots = pairs_of(sequence)
     counts = np.bincount(slots, minlength=1 << SLOT_BITS)
-    bound = max(2, int(counts.max(initial=0)) // 2)
+    bound, guess = max(2, int(counts.max(initial=0)) // 2), len(ids)
     while len(keys) and total < SYMBOLS:
-        some = np.flatnonzero((counts >= bound)[slots])
-        ordered = np.sort(keys[some])
-        begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
-        often = np.diff(np.append(begin, len(ordered)))
-        enough = np.flatnonzero(often >= bound)
-        enough = enough[np.argsort(-often[enough], kind="stable")[: SYMBOLS - total]]
-        chosen = ordered[begin[enough]]
+        some, chosen, guess = most_frequent(keys, slots, counts, bound, SYMBOLS - total, guess)
         rank = places(chosen, keys[some])
         at, rank = some[rank >= 0], rank[rank >= 0]
         won = winners(at, rank)

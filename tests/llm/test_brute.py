@@ -227,3 +227,55 @@ def test_special_tokens_as_the_library_has_them():
     ids, sizes = own.texts(texts)
     want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     assert sizes == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_words_go_through_the_library_once_whatever_stands_behind_them(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, dice, seen, fill = P.path("word_bpe_49k.json"), random.Random(8), [], repair.Encoder.encode_words
+    monkeypatch.setattr(repair.Encoder, "encode_words", lambda self, words: seen.append(len(words)) or fill(self, words))
+    library, own = Tokenizer.from_file(path), repair.Encoder(path, 1)
+    words = list(dict.fromkeys("".join(dice.choices("aeinorst", k=9)) for _ in range(140_000)))
+    for end in (", ", "?! "):
+        for at in range(0, len(words), 20_000):
+            text = end.join(words[at : at + 20_000])
+            ids, sizes = own.texts([text])
+            if not at:
+                assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + [1] and sizes == [len(ids)]
+    assert sum(seen) == len(words)
+
+
+def test_pieces_as_the_library_has_them():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, dice = P.path("word_bpe_49k.json"), random.Random(9)
+    library, own = Tokenizer.from_file(path), repair.Encoder(path, 1)
+    parts = [*"aBczéÉßÿ×÷ªºµ·ÀĀİφ東🙂́­\u0085 \t\r\x1c\x0105²'.,!?()-_\"", "'s", "n't", "a×,", "÷.", "é,", "Straße,", *[" "] * 20, *["\n"] * 4]
+    for _ in range(300):
+        texts = ["".join(dice.choices(parts, k=dice.randint(0, 40))) for _ in range(dice.randint(0, 12))]
+        ids, sizes = own.texts(texts)
+        want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert sizes == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_last_symbols_are_dealt_without_looking_at_rare_pairs(monkeypatch):
+    looked, places = [], repair.places
+    monkeypatch.setattr(repair, "places", lambda chosen, keys: looked.append(len(keys)) or places(chosen, keys))
+    weight = 1 / np.arange(1, 501)
+    ids = np.random.default_rng(1).choice(500, 400_000, p=weight / weight.sum()).astype(np.uint16)
+    shard = repair.Shard(repair.compress(ids, 60_000))
+    assert (shard.ids() == ids).all() and len(shard.rules) == (1 << 16) - 60_000
+    assert sum(looked) < len(ids)
+
+
+def test_most_frequent_pairs_are_those_of_a_full_count():
+    sequence = np.minimum(np.random.default_rng(2).zipf(1.4, 20_000), 3_000).astype(np.uint16)
+    keys, slots = repair.pairs_of(sequence)
+    counts, full = np.bincount(slots, minlength=1 << repair.SLOT_BITS), Counter(keys.tolist())
+    for bound, most, guess in itertools.product((2, 3, 40, 10**6), (1, 7, 300, 16_000), (2, 9, 10**6)):
+        some, chosen, least = repair.most_frequent(keys, slots, counts, bound, most, guess)
+        want = sorted((k for k, n in full.items() if n >= bound), key=lambda k: (-full[k], k))[:most]
+        assert chosen.tolist() == want and set(np.flatnonzero(np.isin(keys, chosen))) <= set(some)
+        assert least == (full[want[-1]] if len(want) == most else bound)
